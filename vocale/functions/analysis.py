@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vocale.functions.once import compute_once
 from vocale.functions.text import MAX_TEXT_CHARS, normalize_text
 from vocale.schemas import ENTITIES_DDL
 
@@ -145,38 +146,41 @@ def summary_json(summary: Column, urgency: Column, action: Column) -> Column:
     )
 
 
-def validate_summary(raw: Column) -> Column:
-    """Struct(summary, urgency, suggested_action, payload, error) of a generated summary.
+def validate_summary(df: DataFrame, raw: str = "raw_summary") -> DataFrame:
+    """Add summary_text, urgency, suggested_action, summary (the stored JSON) and summary_error.
 
     Strict: an object with exactly the three keys, all strings, lengths 1..200, a known urgency.
+    Every step is a column of its own, so the JSON is parsed once per row.
     """
-    trimmed = F.trim(F.coalesce(raw, F.lit("")))
-    doc = F.try_parse_json(trimmed)
-    text = F.when(trimmed != "", trimmed)
+    names = ("summary", "urgency", "suggested_action")
+    parsed = df.withColumn("_raw", F.trim(F.coalesce(F.col(raw), F.lit("")))).withColumns(
+        {"_doc": F.try_parse_json("_raw"), "_keys": F.array_sort(F.json_object_keys("_raw"))}
+    )
 
-    def field(name: str) -> Column:
-        is_string = F.schema_of_variant(F.try_variant_get(doc, f"$.{name}", "variant")) == "STRING"
-        return F.when(is_string, F.try_variant_get(doc, f"$.{name}", "string"))
+    def text_field(name: str) -> Column:
+        value = F.try_variant_get("_doc", f"$.{name}", "variant")
+        return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get("_doc", f"$.{name}", "string"))
 
-    summary, urgency, action = field("summary"), field("urgency"), field("suggested_action")
-    keys = F.array_sort(F.json_object_keys(text))
-    exact = keys == F.array(*[F.lit(k) for k in ("suggested_action", "summary", "urgency")])
+    fields = compute_once(parsed, {f"_{name}": text_field(name) for name in names})
     good = (
-        exact
-        & F.length(summary).between(1, SUMMARY_LIMIT)
-        & urgency.isin(*URGENCIES)
-        & F.length(action).between(1, SUMMARY_LIMIT)
+        (F.col("_keys") == F.array(*[F.lit(n) for n in sorted(names)]))
+        & F.length("_summary").between(1, SUMMARY_LIMIT)
+        & F.col("_urgency").isin(*URGENCIES)
+        & F.length("_suggested_action").between(1, SUMMARY_LIMIT)
     )
-    error = (
-        F.when(trimmed == "", "empty_summary_response")
-        .when(doc.isNull(), "invalid_summary_json")
-        .when(~F.coalesce(good, F.lit(False)), "invalid_summary_schema")
+    checked = fields.withColumn(
+        "summary_error",
+        F.when(F.col("_raw") == "", "empty_summary_response")
+        .when(F.col("_doc").isNull(), "invalid_summary_json")
+        .when(~F.coalesce(good, F.lit(False)), "invalid_summary_schema"),
     )
-    ok = error.isNull()
-    return F.struct(
-        F.when(ok, summary).alias("summary"),
-        F.when(ok, urgency).alias("urgency"),
-        F.when(ok, action).alias("suggested_action"),
-        F.when(ok, summary_json(summary, urgency, action)).alias("payload"),
-        error.alias("error"),
+    ok = F.col("summary_error").isNull()
+    payload = summary_json(*[F.col(f"_{name}") for name in names])
+    return checked.select(
+        *df.columns,
+        F.when(ok, F.col("_summary")).alias("summary_text"),
+        F.when(ok, F.col("_urgency")).alias("urgency"),
+        F.when(ok, F.col("_suggested_action")).alias("suggested_action"),
+        F.when(ok, payload).alias("summary"),
+        "summary_error",
     )

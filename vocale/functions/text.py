@@ -31,7 +31,12 @@ def trim_space(text: Column) -> Column:
 
 def is_blank(text: Column) -> Column:
     """True for NULL and for text that is only whitespace."""
-    return F.coalesce(trim_space(text), F.lit("")) == ""
+    return ~F.coalesce(text.rlike(f"[^{TRIM_SPACE[1:]}"), F.lit(False))
+
+
+def is_empty_text(text: Column) -> Column:
+    """True when nothing is left after normalising; stops at the first character that stays."""
+    return ~F.coalesce(text.rlike(f"[^{SPACE[1:]}"), F.lit(False))
 
 
 def blank_to_null(text: Column) -> Column:

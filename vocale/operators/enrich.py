@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vocale.functions.analysis import (
     PROMPT_VERSION, merge_errors, prompt_hash, stage_error,
 )
-from vocale.functions.text import is_blank, normalize_text
+from vocale.functions.text import is_blank, is_empty_text, normalize_text
 from vocale.operators.entities import extract_entities
 from vocale.operators.sentiment import score_sentiment
 from vocale.operators.summarize import summarize_negative
@@ -51,7 +51,7 @@ def validate_input(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     """Add reason: why a row cannot be analysed, NULL for a good row. One bad row does not
     hold back the others."""
     reason = F.when(is_blank(F.col(id_col).cast("string")), "blank_id").when(
-        normalize_text(F.col(text), None) == "", "blank_text"
+        is_empty_text(F.col(text)), "blank_text"
     )
     return df.withColumn("reason", reason)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocale.functions.analysis import keep_entities
-from vocale.functions.lexicon import ORGANISATIONS, PLACES, literal_array
+from vocale.functions.lexicon import ORGANISATIONS, PLACES
 
 # The patterns, in the order they are tried at each position.
 EMAIL = r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
@@ -20,24 +20,27 @@ SCORES = {"EMAIL": 0.99, "PHONE": 0.95, "IP": 0.90, "ORG": 0.95, "LOC": 0.92, "M
 WEAK_SCORE = 0.60
 
 
+def _any_word(names) -> str:
+    return f"(?:^| )(?:{'|'.join(names)})(?: |$)"
+
+
 def _label(match: Column) -> Column:
-    parts = F.split(match, " ")
     return (
         F.when(match.contains("@"), "EMAIL")
         .when(match.startswith("+"), "PHONE")
         .when(match.rlike("^[0-9]"), "IP")
-        .when(F.arrays_overlap(parts, literal_array(ORGANISATIONS)), "ORG")
-        .when(F.arrays_overlap(parts, literal_array(PLACES)), "LOC")
+        .when(match.rlike(_any_word(ORGANISATIONS)), "ORG")
+        .when(match.rlike(_any_word(PLACES)), "LOC")
         .otherwise("MISC")
     )
 
 
 def _score(match: Column, label: Column) -> Column:
-    score = F.lit(WEAK_SCORE)
+    strong = F.when(match.contains(" "), SCORES["MISC"]).otherwise(WEAK_SCORE)
     for name, value in SCORES.items():
-        strong = (label == name) & ((label != "MISC") | match.contains(" "))
-        score = F.when(strong, value).otherwise(score)
-    return score.cast("float")
+        if name != "MISC":
+            strong = F.when(label == name, value).otherwise(strong)
+    return strong.cast("float")
 
 
 def raw_entities(df: DataFrame, text: str = "norm", offsets: bool = True) -> DataFrame:
@@ -62,18 +65,21 @@ def raw_entities(df: DataFrame, text: str = "norm", offsets: bool = True) -> Dat
     else:
         pairs = F.transform("_match", lambda m: F.struct(m.alias("m"), F.lit(0).alias("s")))
 
-    def entity(pair: Column) -> Column:
-        match, start = pair["m"], pair["s"]
-        label = _label(match)
-        return F.struct(
-            match.alias("text"),
-            label.alias("label"),
-            start.alias("start"),
-            (start + F.length(match)).alias("end"),
-            _score(match, label).alias("score"),
-        )
-
-    return found.select(*df.columns, F.transform(pairs, entity).alias("raw_entities"))
+    # Two steps, so that the label of a match is worked out once.
+    named = F.transform(
+        pairs, lambda p: F.struct(p["m"].alias("m"), p["s"].alias("s"), _label(p["m"]).alias("label"))
+    )
+    entities = F.transform(
+        named,
+        lambda n: F.struct(
+            n["m"].alias("text"),
+            n["label"].alias("label"),
+            n["s"].alias("start"),
+            (n["s"] + F.length(n["m"])).alias("end"),
+            _score(n["m"], n["label"]).alias("score"),
+        ),
+    )
+    return found.select(*df.columns, entities.alias("raw_entities"))
 
 
 def extract_entities(df: DataFrame, text: str = "norm", offsets: bool = True) -> DataFrame:

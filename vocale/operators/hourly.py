@@ -74,7 +74,7 @@ def language_mix(feed: DataFrame) -> DataFrame:
 
 def document_mentions(negative_docs: DataFrame) -> DataFrame:
     """Mentions of each entity in each document; repeated mentions shrink before any join."""
-    entity = negative_docs.select("doc_id", F.explode("entities").alias("e"))
+    entity = negative_docs.select("doc_id", F.explode_outer("entities").alias("e")).filter("e is not null")
     return entity.groupBy("doc_id", F.col("e.text").alias("entity"), F.col("e.label").alias("label")).agg(
         F.count(F.lit(1)).alias("per_doc")
     )

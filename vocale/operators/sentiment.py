@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from vocale.functions.analysis import public_label, signed_score
 from vocale.functions.lexicon import NEGATIVE_TERMS, POSITIVE_TERMS, flat, literal_array, words
+from vocale.functions.once import compute_once
 
 MODEL_NAME = "lexicon"
 
 
 def raw_polarity(df: DataFrame, text: str = "norm") -> DataFrame:
     """Add n_pos, n_neg (different terms found), raw_label and raw_score in [0, 1)."""
-    counted = df.withColumn("_words", words(F.col(text))).select(
-        *df.columns,
-        F.size(F.array_intersect("_words", literal_array(flat(POSITIVE_TERMS)))).alias("n_pos"),
-        F.size(F.array_intersect("_words", literal_array(flat(NEGATIVE_TERMS)))).alias("n_neg"),
-    )
+    counted = compute_once(
+        df.withColumn("_words", words(F.col(text))),
+        {
+            "n_pos": F.size(F.array_intersect("_words", literal_array(flat(POSITIVE_TERMS)))),
+            "n_neg": F.size(F.array_intersect("_words", literal_array(flat(NEGATIVE_TERMS)))),
+        },
+    ).drop("_words")
     d: Column = F.col("n_pos") - F.col("n_neg")
     return counted.select(
         "*",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vocale.functions.analysis import validate_summary
+from vocale.functions.analysis import NEGATIVE, validate_summary
 from vocale.operators import hourly, rolling
 from vocale.operators.sentiment import score_sentiment
 from vocale.operators.summarize import raw_summary
@@ -75,8 +75,8 @@ SELECT hour, CASE WHEN n_neg >= 3 THEN 'critica' WHEN n_neg = 2 THEN 'alta' ELSE
 FROM feed WHERE sentiment_label = 'Negative' GROUP BY ALL""",
 )
 def urgency_mix(spark, root):
-    docs = raw_summary(score_sentiment(normalized(spark, root)))
-    docs = docs.select("doc_id", validate_summary(F.col("raw_summary"))["urgency"].alias("urgency"))
+    negative = score_sentiment(normalized(spark, root)).filter(F.col("sentiment_label") == NEGATIVE)
+    docs = validate_summary(raw_summary(negative)).select("doc_id", "urgency")
     arrived = feed(table(spark, root, "events"), table(spark, root, "documents"), docs.filter("urgency is not null"))
     return show_hour(hourly.urgency_mix(arrived))
 

@@ -10,12 +10,13 @@ from vocale.functions.text import normalize_text
 from vocale.operators.entities import extract_entities
 from vocale.operators.hourly import document_mentions, entity_hourly
 from vocale.operators.sentiment import score_sentiment
-from vocale.sources.feed import arrivals, feed, hour_start, table
+from vocale.sources.feed import arrivals, feed, hour_start, spread, table
 
 
 def normalized(spark: SparkSession, root: str) -> DataFrame:
     """Documents with the whole normalised text."""
     docs = table(spark, root, "documents").select("doc_id", "source", "lang", "text")
+    docs = spread(docs, "doc_id")
     return docs.withColumn("norm", normalize_text(F.col("text"), None)).drop("text")
 
 

@@ -15,6 +15,7 @@ def build_session(app: str, cpus: int | None = None, memory: str = "8g") -> Spar
         SparkSession.builder.master(master)
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cpus or 8))
         .config("spark.sql.adaptive.enabled", "true")

@@ -10,6 +10,13 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Split a scan that has fewer tasks than there are cores before heavy text work; a scan of
+    many files stays as it is and is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def hour_index(ts: Column) -> Column:
     """Whole hours since the epoch."""
     return F.floor(F.unix_seconds(ts.cast("timestamp")) / 3600)
