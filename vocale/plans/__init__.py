@@ -1,2 +1,2 @@
 from vocale.plans.registry import ORACLES, QUERIES
-from vocale.plans import features  # noqa: F401
+from vocale.plans import features, lineage, messages  # noqa: F401

@@ -50,3 +50,16 @@ def show_hour(df: DataFrame) -> DataFrame:
 def rounded(df: DataFrame, *names: str) -> DataFrame:
     """Averages and rates to six digits, with no negative zero."""
     return df.withColumns({n: F.round(F.col(n), 6) + F.lit(0.0) for n in names})
+
+
+def work(spark: SparkSession, root: str) -> DataFrame:
+    """The feed as processed messages: error events are failed runs, value gives the time taken."""
+    failed = F.col("event_type") == "error"
+    return feedback(spark, root).withColumns(
+        {
+            "status": F.when(failed, "failed").otherwise("done"),
+            "error": F.when(failed, "inference error: timeout"),
+            "processing_ms": F.floor(F.col("value") * 1000),
+            "week": F.floor(F.col("h") / 168),
+        }
+    )

@@ -111,3 +111,13 @@ mentions AS (
   SELECT f.entity, f.label, a.hour, count(*) AS mentions
   FROM arrivals a JOIN found f USING (doc_id)
   WHERE f.sentiment_label = 'Negative' GROUP BY ALL)"""
+
+# work: the feed as processed messages: status, error, processing_ms, week, batch_no, batch_id
+WORK = f"""{FEED},
+work AS (
+  SELECT *, printf('batch-%05d', batch_no) AS batch_id FROM (
+    SELECT *, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'done' END AS status,
+           CASE WHEN event_type = 'error' THEN 'inference error: timeout' END AS error,
+           floor(value * 1000)::BIGINT AS processing_ms, (epoch(hour)::BIGINT // 3600) // 168 AS week,
+           (row_number() OVER (PARTITION BY source ORDER BY ts, event_id) - 1) // 32 + 1 AS batch_no
+    FROM feed))"""
