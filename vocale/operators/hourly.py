@@ -28,13 +28,14 @@ def hourly_counts(feed: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def roll_up(counts: DataFrame, *keys: str) -> DataFrame:
+    """The parts of fewer keys."""
+    return counts.groupBy(*keys, "h").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
 def merge_hourly(stored: DataFrame, batch: DataFrame, *keys: str) -> DataFrame:
     """Stored parts updated by the parts of one more batch."""
-    return (
-        stored.unionByName(batch)
-        .groupBy(*keys, "h")
-        .agg(*[F.sum(c).alias(c) for c in COUNTS])
-    )
+    return roll_up(stored.unionByName(batch), *keys)
 
 
 def dense(counts: DataFrame, *keys: str) -> DataFrame:

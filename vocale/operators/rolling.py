@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from vocale.operators.hourly import dense, language_mix
+from vocale.operators.hourly import dense
 
 # Window lengths in hours.
 WINDOWS = (1, 6, 24, 168)
@@ -66,10 +66,10 @@ def rate_change(stats: DataFrame, hours=WINDOWS) -> DataFrame:
     return own_rows(blocks.withColumns(columns)).drop("total", "negatives")
 
 
-def language_shift(feed: DataFrame, recent: int = 24, base: int = 168) -> DataFrame:
+def language_shift(counts: DataFrame, recent: int = 24, base: int = 168) -> DataFrame:
     """Total-variation distance of the last ``recent`` hours' language mix from that of the
-    ``base`` hours before; NULL when either window is empty."""
-    counts = dense(language_mix(feed).select("lang", "h", "total"), "lang")
+    ``base`` hours before; NULL when either window is empty. ``counts`` has lang, h, total."""
+    counts = dense(counts.select("lang", "h", "total"), "lang")
     sums = own_rows(
         in_blocks(counts, recent + base).withColumns(
             {

@@ -170,7 +170,7 @@ SELECT hour, round(0.5 * sum(abs(p::DOUBLE / nullif(p_all, 0)::DOUBLE - q::DOUBL
 FROM sums JOIN whole USING (hour) GROUP BY hour""",
 )
 def language_shift(spark, root):
-    return rounded(show_hour(rolling.language_shift(feedback(spark, root))), "shift")
+    return rounded(show_hour(rolling.language_shift(hourly.language_mix(feedback(spark, root)))), "shift")
 
 
 _DELTA = f"""{o.MENTIONS},

@@ -10,6 +10,7 @@ from vocale.functions.text import normalize_text
 from vocale.operators.entities import extract_entities
 from vocale.operators.hourly import document_mentions, entity_hourly
 from vocale.operators.sentiment import score_sentiment
+from vocale.session import shared_dir
 from vocale.sources.feed import arrivals, feed, hour_start, spread, table
 
 
@@ -63,3 +64,10 @@ def work(spark: SparkSession, root: str) -> DataFrame:
             "week": F.floor(F.col("h") / 168),
         }
     )
+
+
+def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several later steps read, so that its source is read once."""
+    path = f"{shared_dir(spark, name)}/rows"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
