@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 SPACE = r"[\t-\r\x1c-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 TRIM_SPACE = r"[\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
-# Fixed value: the reference cap on a normalised text, in code points.
+# The characters of TRIM_SPACE, one by one.
+TRIM_CHARS = "".join(
+    map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+
+# Fixed value: the cap on a normalised text, in code points.
 MAX_TEXT_CHARS = 4000
 
 
@@ -26,7 +31,7 @@ def normalize_text(text: Column, max_chars: int | None = MAX_TEXT_CHARS) -> Colu
 
 
 def trim_space(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{TRIM_SPACE}+|{TRIM_SPACE}+$", "")
+    return F.btrim(text, F.lit(TRIM_CHARS))
 
 
 def is_blank(text: Column) -> Column:

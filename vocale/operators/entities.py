@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from vocale.functions.analysis import keep_entities
 from vocale.functions.lexicon import ORGANISATIONS, PLACES
 
-# The patterns, in the order they are tried at each position.
-EMAIL = r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+# The patterns, in the order they are tried at each position. The local part of an
+# e-mail address is taken whole ({1,64}+): it has no '@' to give back.
+EMAIL = r"[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 PHONE = r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 NAME = r"\p{Lu}[\p{L}0-9]*(?: \p{Lu}[\p{L}0-9]*)*"
 ANY = f"{EMAIL}|{PHONE}|{IP}|{NAME}"
+NO_EMAIL = f"{PHONE}|{IP}|{NAME}"
 
 # Label and score per kind; single capitalised words stay below the 0.80 threshold.
 SCORES = {"EMAIL": 0.99, "PHONE": 0.95, "IP": 0.90, "ORG": 0.95, "LOC": 0.92, "MISC": 0.85}
@@ -49,9 +51,17 @@ def raw_entities(df: DataFrame, text: str = "norm", offsets: bool = True) -> Dat
     Offsets count code points of the text: the length of all pieces between and of the matches
     before it. ``offsets=False`` leaves them 0 for jobs that only count mentions.
     """
-    found = df.withColumn("_match", F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
+    source = F.col(text)
+
+    def with_pattern(apply) -> Column:
+        # Without an '@' there is no address, and the costly pattern is not tried at every letter.
+        return F.when(source.contains("@"), apply(ANY)).otherwise(apply(NO_EMAIL))
+
+    found = df.withColumn(
+        "_match", with_pattern(lambda p: F.regexp_extract_all(source, F.lit(p), F.lit(0)))
+    )
     if offsets:
-        gaps = F.transform(F.split(F.col(text), ANY, -1), F.length)
+        gaps = F.transform(with_pattern(lambda p: F.split(source, p, -1)), F.length)
         steps = F.zip_with(
             F.col("_match"), F.slice(gaps, 2, F.size("_match")), lambda m, gap: F.length(m) + gap
         )

@@ -6,7 +6,10 @@ The tables here have one row per hour (or per hour and fold), whatever the numbe
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -145,15 +148,15 @@ def predict(model: PipelineModel, rows: DataFrame, names: list[str]) -> DataFram
     return scored.select(*rows.columns, "probability")
 
 
-def train_forecast(rows: DataFrame, cut: float = 0.5) -> DataFrame:
+def train_forecast(rows: DataFrame, cut: float = 0.5, parallelism: int = 4) -> DataFrame:
     """Test rows (fold, h, y, probability, prediction) of every fold.
 
     A fold whose training part has only one class gets no model: probability and prediction are
-    NULL. One model is fitted per fold, so the loop is as long as the number of periods.
+    NULL. One model is fitted per fold, some at a time; there are as many folds as periods.
     """
     names = feature_names(rows)
-    out = None
-    for r in class_weights(rows).orderBy("fold").collect():
+
+    def run(r) -> DataFrame:
         part = rows.filter(F.col("fold") == r["fold"])
         test = part.filter(F.col("role") == "test").drop("role")
         if r["positives"] and r["negatives_rows"]:
@@ -161,11 +164,13 @@ def train_forecast(rows: DataFrame, cut: float = 0.5) -> DataFrame:
             scored = predict(fit(train, names, r["weight"]), test, names)
         else:
             scored = test.withColumn("probability", F.lit(None).cast("double"))
-        scored = scored.select(
+        return scored.select(
             "fold", "h", "y", "probability", (F.col("probability") > cut).cast("int").alias("prediction")
         )
-        out = scored if out is None else out.unionByName(scored)
-    return out
+
+    weights = class_weights(rows).orderBy("fold").collect()
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return reduce(DataFrame.unionByName, list(pool.map(inheritable_thread_target(rows.sparkSession)(run), weights)))
 
 
 def rule_prediction(rows: DataFrame) -> DataFrame:

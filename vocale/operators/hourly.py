@@ -38,13 +38,23 @@ def merge_hourly(stored: DataFrame, batch: DataFrame, *keys: str) -> DataFrame:
     return roll_up(stored.unionByName(batch), *keys)
 
 
-def dense(counts: DataFrame, *keys: str) -> DataFrame:
-    """One row per hour between the first (of the key) and the last of all, 0 where nothing came."""
+def hour_span(arrivals: DataFrame) -> DataFrame:
+    """First and last hour of an arrival log, from its one time column."""
+    return arrivals.agg(F.min("h").alias("_first"), F.max("h").alias("_last"))
+
+
+def dense(counts: DataFrame, *keys: str, span: DataFrame | None = None) -> DataFrame:
+    """One row per hour between the first (of the key) and the last of all, 0 where nothing came.
+
+    Without a ``span`` the range is read from the counts, which are then worked out once more;
+    give one where the counts are not a stored table.
+    """
     if keys:
         last = counts.agg(F.max("h")).scalar()
         spans = counts.groupBy(*keys).agg(F.min("h").alias("_first")).withColumn("_last", last)
     else:
-        spans = counts.agg(F.min("h").alias("_first"), F.max("h").alias("_last")).filter("_first is not null")
+        spans = span if span is not None else hour_span(counts)
+        spans = spans.filter("_first is not null")
     spine = spans.select(*keys, F.explode(F.sequence("_first", "_last")).alias("h"))
     values = [c for c in counts.columns if c not in (*keys, "h")]
     return spine.join(counts, [*keys, "h"], "left").na.fill(0, values)
@@ -54,9 +64,9 @@ def with_averages(stats: DataFrame) -> DataFrame:
     return stats.withColumn("avg_neg_score", F.try_divide(F.col("neg_score_sum"), F.col("negatives")))
 
 
-def hourly_stats(feed: DataFrame) -> DataFrame:
+def hourly_stats(feed: DataFrame, span: DataFrame | None = None) -> DataFrame:
     """feedback_hourly_stats: h, total, negatives, neg_score_sum, avg_neg_score, every hour present."""
-    return with_averages(dense(hourly_counts(feed)))
+    return with_averages(dense(hourly_counts(feed), span=span))
 
 
 def rate_by_source(feed: DataFrame) -> DataFrame:

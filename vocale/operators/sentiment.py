@@ -15,7 +15,7 @@ MODEL_NAME = "lexicon"
 def raw_polarity(df: DataFrame, text: str = "norm") -> DataFrame:
     """Add n_pos, n_neg (different terms found), raw_label and raw_score in [0, 1)."""
     counted = compute_once(
-        df.withColumn("_words", words(F.col(text))),
+        df.withColumn("_words", words(F.coalesce(F.col(text), F.lit("")))),
         {
             "n_pos": F.size(F.array_intersect("_words", literal_array(flat(POSITIVE_TERMS)))),
             "n_neg": F.size(F.array_intersect("_words", literal_array(flat(NEGATIVE_TERMS)))),

@@ -71,10 +71,9 @@ def dedup_by_hash(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Only hashes and ids are shuffled, and they combine map-side whatever the number of copies.
     """
-    hashes = docs.select(F.when(F.col(text).isNotNull(), content_hash(F.col(text))).alias("hash"), "doc_id")
-    return hashes.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).filter(
-        "hash is not null"
-    )
+    present = docs.filter(F.col(text).isNotNull())
+    hashes = present.select(content_hash(F.col(text)).alias("hash"), "doc_id")
+    return hashes.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
 def unique_documents(docs: DataFrame, text: str = "text") -> DataFrame:

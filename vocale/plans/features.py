@@ -10,7 +10,7 @@ from vocale.operators.sentiment import score_sentiment
 from vocale.operators.summarize import raw_summary
 from vocale.plans import oracle as o
 from vocale.plans.inputs import (
-    feedback, mentions_by_hour, normalized, rounded, show_hour,
+    dense_counts, feedback, mentions_by_hour, normalized, rounded, show_hour, span, stored,
 )
 from vocale.plans.registry import query
 from vocale.sources.feed import feed, table
@@ -26,7 +26,7 @@ def _stats_out(stats):
 
 @query("feedback_hourly_stats", f"WITH {o.HOURLY} {_STATS}")
 def feedback_hourly_stats(spark, root):
-    return _stats_out(hourly.hourly_stats(feedback(spark, root)))
+    return _stats_out(hourly.hourly_stats(feedback(spark, root), span(spark, root)))
 
 
 @query("incremental_hourly", f"WITH {o.HOURLY} {_STATS}")
@@ -34,9 +34,9 @@ def incremental_hourly(spark, root):
     """Two batches that share their hours, the second merged into the parts of the first."""
     arrived = feedback(spark, root)
     later = F.col("event_type").isin("purchase", "signup")
-    stored = hourly.hourly_counts(arrived.filter(~later))
-    batch = hourly.hourly_counts(arrived.filter(later))
-    return _stats_out(hourly.dense(hourly.merge_hourly(stored, batch)))
+    first = hourly.hourly_counts(arrived.filter(~later))
+    second = hourly.hourly_counts(arrived.filter(later))
+    return _stats_out(hourly.dense(hourly.merge_hourly(first, second), span=span(spark, root)))
 
 
 @query(
@@ -96,7 +96,7 @@ def _per_window(template) -> str:
 
 
 def _rolled(spark, root, prefix):
-    stats = rolling.rolling(hourly.dense(hourly.hourly_counts(feedback(spark, root))))
+    stats = rolling.rolling(dense_counts(spark, root))
     names = [f"{prefix}_{x}h" for x in rolling.WINDOWS]
     return show_hour(stats.select("h", *names)), names
 
@@ -147,7 +147,7 @@ def rolling_neg_score(spark, root):
     + " FROM rates",
 )
 def rate_change(spark, root):
-    changes = rolling.rate_change(hourly.dense(hourly.hourly_counts(feedback(spark, root))))
+    changes = rolling.rate_change(dense_counts(spark, root))
     return rounded(show_hour(changes), *[c for c in changes.columns if c != "h"])
 
 
@@ -170,7 +170,8 @@ SELECT hour, round(0.5 * sum(abs(p::DOUBLE / nullif(p_all, 0)::DOUBLE - q::DOUBL
 FROM sums JOIN whole USING (hour) GROUP BY hour""",
 )
 def language_shift(spark, root):
-    return rounded(show_hour(rolling.language_shift(hourly.language_mix(feedback(spark, root)))), "shift")
+    counts = feedback(spark, root).groupBy("lang", "h").agg(F.count(F.lit(1)).alias("total"))
+    return rounded(show_hour(rolling.language_shift(stored(spark, counts, "languages"))), "shift")
 
 
 _DELTA = f"""{o.MENTIONS},
@@ -226,6 +227,6 @@ SELECT hour, negatives, future_negatives, round(threshold, 6) AS threshold,
 FROM future, level""",
 )
 def spike_target(spark, root):
-    stats = hourly.dense(hourly.hourly_counts(feedback(spark, root)))
+    stats = stored(spark, dense_counts(spark, root), "hours")
     out = show_hour(rolling.spike_target(stats)).drop("total", "neg_score_sum")
     return rounded(out, "threshold")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vocale.operators import forecast as fc
-from vocale.operators.hourly import dense, hourly_counts
+from vocale.operators.hourly import hourly_counts
 from vocale.operators.rolling import WINDOWS, entity_delta, threshold, top_rising
 from vocale.plans import oracle as o
 from vocale.plans.features import _FUTURE, _over, _sql_rate
-from vocale.plans.inputs import feedback, mentions_by_hour, rounded, show_hour, stored
+from vocale.plans.inputs import dense_counts, feedback, mentions_by_hour, rounded, show_hour, stored
 from vocale.plans.registry import query
 
 # The sources and languages the model has features for; others share one column.
@@ -110,12 +110,12 @@ def spike_threshold(spark, root):
 
 
 def _future(spark, root):
-    stats = dense(hourly_counts(feedback(spark, root)))
-    return fc.future_negatives(fc.rolling(stats, (24,)))
+    hours = fc.future_negatives(fc.rolling(dense_counts(spark, root), (24,)))
+    return stored(spark, hours, "hours")
 
 
 def _fold_rows(spark, root):
-    return fc.with_target(fc.folds(_future(spark, root)))
+    return fc.with_target(stored(spark, fc.folds(_future(spark, root)), "folds"))
 
 
 _FOLDS = f"""{_FUTURE},

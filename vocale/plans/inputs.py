@@ -8,22 +8,26 @@ from pyspark.sql import functions as F
 from vocale.functions.analysis import NEGATIVE
 from vocale.functions.text import normalize_text
 from vocale.operators.entities import extract_entities
-from vocale.operators.hourly import document_mentions, entity_hourly
+from vocale.operators.hourly import dense, document_mentions, entity_hourly, hour_span, hourly_counts
 from vocale.operators.sentiment import score_sentiment
 from vocale.session import shared_dir
-from vocale.sources.feed import arrivals, feed, hour_start, spread, table
+from vocale.sources.feed import arrivals, feed, hour_index, hour_start, spread, table
+
+
+def documents(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").select("doc_id", "source", "lang", "text")
+    return spread(docs, "doc_id")
 
 
 def normalized(spark: SparkSession, root: str) -> DataFrame:
     """Documents with the whole normalised text."""
-    docs = table(spark, root, "documents").select("doc_id", "source", "lang", "text")
-    docs = spread(docs, "doc_id")
-    return docs.withColumn("norm", normalize_text(F.col("text"), None)).drop("text")
+    return documents(spark, root).withColumn("norm", normalize_text(F.col("text"), None)).drop("text")
 
 
 def scored(spark: SparkSession, root: str) -> DataFrame:
-    """Narrow analysed documents: no text column."""
-    return score_sentiment(normalized(spark, root)).drop("norm")
+    """Narrow analysed documents: no text column. The lexicon looks at letter runs only, which
+    are the same before and after whitespace is collapsed."""
+    return score_sentiment(documents(spark, root), "text").drop("text")
 
 
 def feedback(spark: SparkSession, root: str) -> DataFrame:
@@ -33,8 +37,9 @@ def feedback(spark: SparkSession, root: str) -> DataFrame:
 
 def negative_documents(spark: SparkSession, root: str, offsets: bool = True) -> DataFrame:
     """Negative documents with their entities; only these are searched for entities."""
-    negative = score_sentiment(normalized(spark, root)).filter(F.col("sentiment_label") == NEGATIVE)
-    return extract_entities(negative, offsets=offsets)
+    negative = score_sentiment(documents(spark, root), "text").filter(F.col("sentiment_label") == NEGATIVE)
+    cleaned = negative.withColumn("norm", normalize_text(F.col("text"), None)).drop("text")
+    return extract_entities(cleaned, offsets=offsets)
 
 
 def mentions_by_hour(spark: SparkSession, root: str) -> DataFrame:
@@ -53,6 +58,16 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(F.col(n), 6) + F.lit(0.0) for n in names})
 
 
+def span(spark: SparkSession, root: str) -> DataFrame:
+    events = table(spark, root, "events")
+    return hour_span(events.select(hour_index(F.col("ts")).alias("h")))
+
+
+def dense_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Hourly parts of the whole feed, every hour present."""
+    return dense(hourly_counts(feedback(spark, root)), span=span(spark, root))
+
+
 def work(spark: SparkSession, root: str) -> DataFrame:
     """The feed as processed messages: error events are failed runs, value gives the time taken."""
     failed = F.col("event_type") == "error"

@@ -8,7 +8,7 @@ from vocale.functions.ids import document_uuid, run_uuid, source_uuid
 from vocale.functions.text import blank_to_null
 from vocale.operators import batches, lineage as ln, matching, tables as tb, upserts
 from vocale.plans import oracle as o
-from vocale.plans.inputs import feedback, rounded, scored, work
+from vocale.plans.inputs import feedback, rounded, stored, work
 from vocale.plans.registry import query
 from vocale.sources.feed import arrivals, spread, table
 
@@ -240,7 +240,7 @@ def dedup_by_hash(spark, root):
 
 
 def _batched(spark, root):
-    return batches.assign_batches(work(spark, root))
+    return batches.assign_batches(stored(spark, work(spark, root), "work"))
 
 
 @query("assign_batches", f"WITH {o.WORK} SELECT event_id, source, batch_no::BIGINT AS batch_no, batch_id FROM work")
@@ -288,7 +288,7 @@ SELECT *, runs_total = expected_total AND runs_done = expected_done AND runs_fai
 )
 def reconcile(spark, root):
     """Some landed runs and results are missing, by value."""
-    rows = _batched(spark, root)
+    rows = stored(spark, _batched(spark, root), "batched")
     landed = rows.filter(F.col("value") >= 0.5)
     results = rows.filter((F.col("value") >= 0.25) & (F.col("status") == "done"))
     return batches.reconcile(rows, landed, results, ("source", "batch_id"))
@@ -321,7 +321,7 @@ SELECT {_LINEAGE_RUN} AS run_id, {o.uuid5('doc_id::VARCHAR')} AS document_id, la
 FROM runs""",
 )
 def lineage(spark, root):
-    out = ln.lineage(tb.to_tables(_analysed(spark, root)))
+    out = ln.lineage(tb.to_tables(stored(spark, _analysed(spark, root), "analysed")))
     return out.select(
         "run_id", "document_id", "language", "source_name", "sentiment_model", "ner_model", "summary_model", "run_status",
         "sentiment_label", F.round(F.col("sentiment_score").cast("double"), 4).alias("sentiment_score"), "error_message",

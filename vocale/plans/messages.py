@@ -17,7 +17,7 @@ from vocale.operators.matching import apply_rules
 from vocale.operators.sentiment import score_sentiment
 from vocale.operators.summarize import ACTIONS, summarize_negative
 from vocale.plans import oracle as o
-from vocale.plans.inputs import normalized, rounded, scored, work
+from vocale.plans.inputs import normalized, rounded, scored, stored, work
 from vocale.plans.registry import query
 from vocale.sources.feed import spread, table
 from vocale.sources.generator import POOLS, SOURCES, generate_feedback
@@ -510,4 +510,4 @@ SELECT source, batch_id, row_number() OVER (PARTITION BY source, batch_id ORDER
 FROM work""",
 )
 def report(spark, root):
-    return batch_report(assign_batches(work(spark, root)))
+    return batch_report(assign_batches(stored(spark, work(spark, root), "work")))
