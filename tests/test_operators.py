@@ -13,6 +13,7 @@ from vocale.operators.enrich import Scorers, enrich, validate_input
 from vocale.operators.entities import extract_entities, raw_entities
 from vocale.operators.sentiment import score_sentiment, to_public
 from vocale.operators.summarize import summarize_negative
+from vocale.sources.feed import arrivals, arrivals_by_hour, feed, hourly_feed
 from vocale.sources.generator import POOLS, generate_feedback
 from vocale.sources.messages import read_messages
 
@@ -52,7 +53,7 @@ def test_quarantine_id_wins_over_text(spark):
     docs = spark.createDataFrame(
         [("a", "an ERROR here"), ("b", "an ERROR here"), ("c", "fine")], "doc_id string, text string"
     ).withColumns({"sentiment_label": F.lit("Positive"), "sentiment_score": F.lit(0.5)})
-    ids = spark.createDataFrame([("a",), ("a",)], "doc_id string")
+    ids = matching.rule_ids(spark, " a,,a , ")
     got = {r["doc_id"]: (r["status"], r["rule"], r["sentiment_label"]) for r in matching.apply_rules(docs, ids, "error").collect()}
     assert got == {
         "a": ("failed", "id is listed", None),
@@ -326,3 +327,42 @@ def test_json_messages(spark, tmp_path):
     path.write_text(json.dumps([{"ID": "1", "Text": "ciao", "other": 3}, {"ID": "2", "SourceID": "s", "Lang": "it"}]))
     got = [tuple(r) for r in read_messages(spark, str(path)).orderBy("ID").collect()]
     assert got == [("1", "", "", "ciao"), ("2", "s", "it", "")]
+
+
+def test_one_document_with_a_third_of_all_arrivals(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(0 if i % 3 == 0 else i, base + dt.timedelta(minutes=i % 600)) for i in range(6000)]
+    events = spark.createDataFrame([(i, ts) for i, ts in rows], "event_id bigint, ts timestamp")
+    docs = spark.range(100).select(F.col("id").alias("doc_id"))
+    scored_docs = docs.select(
+        "doc_id", F.concat(F.lit("s"), (F.col("doc_id") % 2).cast("string")).alias("source"),
+        F.when(F.col("doc_id") % 4 == 0, NEGATIVE).otherwise("Neutral").alias("sentiment_label"),
+        F.when(F.col("doc_id") % 4 == 0, -0.5).otherwise(0.0).alias("sentiment_score"),
+    )
+    counted = hourly_feed(events, docs, scored_docs)
+    assert counted.filter("doc_id = 0").count() == 10
+    got = {(r["source"], r["h"]): (r["total"], r["negatives"], r["neg_score_sum"])
+           for r in hourly.hourly_counts(counted, "source").collect()}
+    expected = {}
+    for event_id, ts in rows:
+        doc, h = event_id % 100, int(ts.timestamp() // 3600) if ts.tzinfo else int((ts - dt.datetime(1970, 1, 1)).total_seconds() // 3600)
+        t, n, s = expected.get((f"s{doc % 2}", h), (0, 0, 0.0))
+        neg = doc % 4 == 0
+        expected[(f"s{doc % 2}", h)] = (t + 1, n + neg, s - 0.5 * neg)
+    assert got == expected
+    row_level = {(r["source"], r["h"]): (r["total"], r["negatives"], r["neg_score_sum"])
+                 for r in hourly.hourly_counts(feed(events, docs, scored_docs), "source").collect()}
+    assert row_level == expected
+    mentions = spark.createDataFrame([(0, "A", "ORG", 2), (4, "A", "ORG", 1)], "doc_id bigint, entity string, label string, per_doc int")
+    total = hourly.entity_hourly(arrivals_by_hour(arrivals(events, docs)), mentions).agg(F.sum("mentions")).first()[0]
+    assert total == sum(2 if e % 100 == 0 else 1 if e % 100 == 4 else 0 for e, _ in rows)
+
+
+def test_results_of_one_id_with_a_third_of_all_rows(spark):
+    rows = [(i, "hot" if i % 3 else f"d{i}", "Positive" if i == 1 else "Negative", 0.1, None) for i in range(3000)]
+    results = spark.createDataFrame(
+        rows, "pos int, doc_id string, sentiment_label string, sentiment_score double, error string"
+    ).repartition(6)
+    docs = results.select("doc_id").distinct()
+    got = {r["doc_id"]: r["sentiment_label"] for r in matching.match_results(docs, results).collect()}
+    assert got["hot"] == "Positive" and len(got) == 1001

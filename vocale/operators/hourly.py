@@ -19,12 +19,19 @@ def is_negative() -> Column:
     return F.col("sentiment_label") == NEGATIVE
 
 
+def _weight(feed: DataFrame) -> Column:
+    """Arrivals of a row: its ``arrivals`` column in a feed counted by hour, else one."""
+    return F.col("arrivals") if "arrivals" in feed.columns else F.lit(1).cast("bigint")
+
+
 def hourly_counts(feed: DataFrame, *keys: str) -> DataFrame:
     """Additive parts per hour (and key): total, negatives, neg_score_sum."""
+    n = _weight(feed)
+    score = F.when(is_negative(), F.col("sentiment_score") * n)
     return feed.groupBy(*keys, "h").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(is_negative()).alias("negatives"),
-        F.coalesce(F.sum(F.when(is_negative(), F.col("sentiment_score"))), F.lit(0.0)).alias("neg_score_sum"),
+        F.sum(n).alias("total"),
+        F.coalesce(F.sum(F.when(is_negative(), n)), F.lit(0)).alias("negatives"),
+        F.coalesce(F.sum(score), F.lit(0.0)).alias("neg_score_sum"),
     )
 
 
@@ -78,7 +85,7 @@ def rate_by_source(feed: DataFrame) -> DataFrame:
 
 def language_mix(feed: DataFrame) -> DataFrame:
     """Share of each language in its hour; the window runs over one row per language and hour."""
-    counts = feed.groupBy("h", "lang").agg(F.count(F.lit(1)).alias("total"))
+    counts = feed.groupBy("h", "lang").agg(F.sum(_weight(feed)).alias("total"))
     whole = F.sum("total").over(W.partitionBy("h"))
     return counts.withColumn("share", F.try_divide(F.col("total").cast("double"), whole))
 
@@ -92,17 +99,14 @@ def document_mentions(negative_docs: DataFrame) -> DataFrame:
 
 
 def entity_hourly(arrivals: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Negative mentions per entity and hour."""
-    return (
-        arrivals.select("doc_id", "h")
-        .join(mentions, "doc_id")
-        .groupBy("entity", "label", "h")
-        .agg(F.sum("per_doc").alias("mentions"))
+    """Negative mentions per entity and hour, from arrivals counted by document and hour."""
+    joined = arrivals.join(mentions, "doc_id")
+    return joined.groupBy("entity", "label", "h").agg(
+        F.sum(F.col("per_doc") * F.col("arrivals")).alias("mentions")
     )
 
 
 def urgency_mix(feed: DataFrame) -> DataFrame:
     """Validated summaries per hour and urgency."""
-    return (
-        feed.filter(F.col("urgency").isNotNull()).groupBy("h", "urgency").agg(F.count(F.lit(1)).alias("total"))
-    )
+    known = feed.filter(F.col("urgency").isNotNull())
+    return known.groupBy("h", "urgency").agg(F.sum(_weight(feed)).alias("total"))

@@ -6,9 +6,11 @@ one row per task, and nothing is sorted or collected per id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vocale.functions.text import trim_space
+
 OUTPUTS = ("sentiment_label", "sentiment_score")
 
 
@@ -54,6 +56,13 @@ def match_audit(docs: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
+def rule_ids(spark: SparkSession, listed: str) -> DataFrame:
+    """doc_id rows of a comma-separated list; outer blanks and empty entries are dropped."""
+    entry = F.explode(F.split(F.lit(listed), ",")).alias("raw")
+    ids = spark.range(1).select(entry).select(trim_space(F.col("raw")).alias("doc_id"))
+    return ids.filter("doc_id <> ''").distinct()
+
+
 def apply_rules(
     df: DataFrame, ids: DataFrame | None = None, contains: str | None = None,
     outputs=("sentiment_label", "sentiment_score"),

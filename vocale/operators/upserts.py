@@ -21,8 +21,9 @@ def latest(df: DataFrame, keys, order: str, first_cols=(), columns=None) -> Data
 
 
 def upsert_sources(messages: DataFrame, order: str) -> DataFrame:
-    """source_metadata rows of a batch of messages."""
-    versions = messages.select(
+    """source_metadata rows of a batch of messages, reduced to one row per raw source first."""
+    used = messages.groupBy("source").agg(F.max(order).alias(order))
+    versions = used.select(
         source_uuid(F.col("source")).alias("id"),
         source_name(F.col("source")).alias("name"),
         F.lit("mock").alias("platform_type"),
@@ -52,13 +53,15 @@ def register_models(models: DataFrame, order: str) -> DataFrame:
         order,
     )
     kept = latest(versions, key, order).drop(order)
-    return kept.select(model_uuid().alias("id"), "*", F.col("model_name").alias("artifact_uri"))
+    return kept.select(
+        model_uuid(*[F.col(c) for c in key]).alias("id"), "*", F.col("model_name").alias("artifact_uri")
+    )
 
 
-def model_uuid() -> Column:
+def model_uuid(name: Column, version: Column, revision: Column, task: Column, provider: Column) -> Column:
     """Id of a registry row from its key, so every job that registers a model agrees on it."""
-    revision = F.coalesce(F.concat(F.lit("="), F.col("revision")), F.lit("-"))
-    return uuid5(F.concat_ws("|", F.lit("model"), "model_name", "version", revision, "task_type", "provider"))
+    mark = F.coalesce(F.concat(F.lit("="), revision), F.lit("-"))
+    return uuid5(F.concat_ws("|", F.lit("model"), name, version, mark, task, provider))
 
 
 def content_hash(text: Column) -> Column:

@@ -10,10 +10,10 @@ from vocale.operators.sentiment import score_sentiment
 from vocale.operators.summarize import raw_summary
 from vocale.plans import oracle as o
 from vocale.plans.inputs import (
-    dense_counts, feedback, mentions_by_hour, normalized, rounded, show_hour, span, stored,
+    dense_counts, feedback, hourly_feedback, mentions_by_hour, normalized, rounded, show_hour, span, stored,
 )
 from vocale.plans.registry import query
-from vocale.sources.feed import feed, table
+from vocale.sources.feed import hourly_feed, table
 
 _STATS = """SELECT hour, total, negatives, round(neg_score_sum / nullif(negatives, 0), 6) AS avg_neg_score
 FROM hourly"""
@@ -26,17 +26,16 @@ def _stats_out(stats):
 
 @query("feedback_hourly_stats", f"WITH {o.HOURLY} {_STATS}")
 def feedback_hourly_stats(spark, root):
-    return _stats_out(hourly.hourly_stats(feedback(spark, root), span(spark, root)))
+    return _stats_out(hourly.hourly_stats(hourly_feedback(spark, root), span(spark, root)))
 
 
 @query("incremental_hourly", f"WITH {o.HOURLY} {_STATS}")
 def incremental_hourly(spark, root):
     """Two batches that share their hours, the second merged into the parts of the first."""
-    arrived = feedback(spark, root)
-    later = F.col("event_type").isin("purchase", "signup")
-    first = hourly.hourly_counts(arrived.filter(~later))
-    second = hourly.hourly_counts(arrived.filter(later))
-    return _stats_out(hourly.dense(hourly.merge_hourly(first, second), span=span(spark, root)))
+    late = F.col("event_type").isin("purchase", "signup").alias("late")
+    parts = stored(spark, hourly.hourly_counts(feedback(spark, root).select("*", late), "late"), "parts")
+    first, second = parts.filter("not late").drop("late"), parts.filter("late").drop("late")
+    return _stats_out(hourly.dense(hourly.merge_hourly(first, second)))
 
 
 @query(
@@ -47,7 +46,7 @@ SELECT source, hour, count(*) AS total, count(*) FILTER (sentiment_label = 'Nega
 FROM feed GROUP BY ALL""",
 )
 def negative_rate_by_source(spark, root):
-    rates = hourly.rate_by_source(feedback(spark, root)).drop("neg_score_sum")
+    rates = hourly.rate_by_source(hourly_feedback(spark, root)).drop("neg_score_sum")
     return rounded(show_hour(rates), "negative_rate")
 
 
@@ -59,7 +58,7 @@ SELECT hour, lang, count(*) AS total,
 FROM feed GROUP BY hour, lang""",
 )
 def language_distribution(spark, root):
-    return rounded(show_hour(hourly.language_mix(feedback(spark, root))), "share")
+    return rounded(show_hour(hourly.language_mix(hourly_feedback(spark, root))), "share")
 
 
 @query("entity_hourly", f"WITH {o.MENTIONS} SELECT entity, label, hour, mentions FROM mentions")
@@ -77,7 +76,8 @@ FROM feed WHERE sentiment_label = 'Negative' GROUP BY ALL""",
 def urgency_mix(spark, root):
     negative = score_sentiment(normalized(spark, root)).filter(F.col("sentiment_label") == NEGATIVE)
     docs = validate_summary(raw_summary(negative)).select("doc_id", "urgency")
-    arrived = feed(table(spark, root, "events"), table(spark, root, "documents"), docs.filter("urgency is not null"))
+    docs = docs.filter("urgency is not null")
+    arrived = hourly_feed(table(spark, root, "events"), table(spark, root, "documents"), docs)
     return show_hour(hourly.urgency_mix(arrived))
 
 
@@ -170,7 +170,7 @@ SELECT hour, round(0.5 * sum(abs(p::DOUBLE / nullif(p_all, 0)::DOUBLE - q::DOUBL
 FROM sums JOIN whole USING (hour) GROUP BY hour""",
 )
 def language_shift(spark, root):
-    counts = feedback(spark, root).groupBy("lang", "h").agg(F.count(F.lit(1)).alias("total"))
+    counts = hourly.language_mix(hourly_feedback(spark, root)).select("lang", "h", "total")
     return rounded(show_hour(rolling.language_shift(stored(spark, counts, "languages"))), "shift")
 
 

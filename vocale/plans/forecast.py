@@ -9,7 +9,7 @@ from vocale.operators.hourly import hourly_counts
 from vocale.operators.rolling import WINDOWS, entity_delta, threshold, top_rising
 from vocale.plans import oracle as o
 from vocale.plans.features import _FUTURE, _over, _sql_rate
-from vocale.plans.inputs import dense_counts, feedback, mentions_by_hour, rounded, show_hour, stored
+from vocale.plans.inputs import dense_counts, hourly_feedback, mentions_by_hour, rounded, show_hour, stored
 from vocale.plans.registry import query
 
 # The sources and languages the model has features for; others share one column.
@@ -18,7 +18,7 @@ LANGUAGES = ("de", "en", "es", "fr")
 
 
 def _table(spark, root):
-    base = stored(spark, hourly_counts(feedback(spark, root), "source", "lang"), "hours")
+    base = stored(spark, hourly_counts(hourly_feedback(spark, root), "source", "lang"), "hours")
     mentions = stored(spark, mentions_by_hour(spark, root), "mentions")
     return fc.training_table(base, mentions, SOURCES, LANGUAGES)
 

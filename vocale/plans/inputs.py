@@ -11,7 +11,9 @@ from vocale.operators.entities import extract_entities
 from vocale.operators.hourly import dense, document_mentions, entity_hourly, hour_span, hourly_counts
 from vocale.operators.sentiment import score_sentiment
 from vocale.session import shared_dir
-from vocale.sources.feed import arrivals, feed, hour_index, hour_start, spread, table
+from vocale.sources.feed import (
+    arrivals, arrivals_by_hour, feed, hour_index, hour_start, hourly_feed, spread, table,
+)
 
 
 def documents(spark: SparkSession, root: str) -> DataFrame:
@@ -35,6 +37,11 @@ def feedback(spark: SparkSession, root: str) -> DataFrame:
     return feed(table(spark, root, "events"), table(spark, root, "documents"), scored(spark, root))
 
 
+def hourly_feedback(spark: SparkSession, root: str) -> DataFrame:
+    """The feed counted by document and hour, for hourly aggregates."""
+    return hourly_feed(table(spark, root, "events"), table(spark, root, "documents"), scored(spark, root))
+
+
 def negative_documents(spark: SparkSession, root: str, offsets: bool = True) -> DataFrame:
     """Negative documents with their entities; only these are searched for entities."""
     negative = score_sentiment(documents(spark, root), "text").filter(F.col("sentiment_label") == NEGATIVE)
@@ -44,7 +51,8 @@ def negative_documents(spark: SparkSession, root: str, offsets: bool = True) ->
 
 def mentions_by_hour(spark: SparkSession, root: str) -> DataFrame:
     mentions = document_mentions(negative_documents(spark, root, offsets=False))
-    return entity_hourly(arrivals(table(spark, root, "events"), table(spark, root, "documents")), mentions)
+    arrived = arrivals(table(spark, root, "events"), table(spark, root, "documents"))
+    return entity_hourly(arrivals_by_hour(arrived), mentions)
 
 
 def show_hour(df: DataFrame) -> DataFrame:
@@ -65,7 +73,7 @@ def span(spark: SparkSession, root: str) -> DataFrame:
 
 def dense_counts(spark: SparkSession, root: str) -> DataFrame:
     """Hourly parts of the whole feed, every hour present."""
-    return dense(hourly_counts(feedback(spark, root)), span=span(spark, root))
+    return dense(hourly_counts(hourly_feedback(spark, root)), span=span(spark, root))
 
 
 def work(spark: SparkSession, root: str) -> DataFrame:

@@ -90,21 +90,18 @@ FROM versions WHERE from_last = 1""",
 )
 def upsert_documents(spark, root):
     """Each arrival is a version of its document: the last one wins, received_at stays the first."""
-    events = arrivals(table(spark, root, "events"), table(spark, root, "documents"))
-    versions = events.join(table(spark, root, "documents").select("doc_id", "source", "lang", "text"), "doc_id").select(
-        "event_id", "doc_id", "source", "text",
-        F.expr(_LANGUAGE.format(upper="upper(lang)")).alias("language"),
-        F.when(F.col("event_type") == "error", "failed").otherwise("done").alias("status"),
-        F.col("ts").cast("timestamp_ntz").alias("received_at"),
-    )
-    last = upserts.latest(versions, ["doc_id"], "event_id", ("received_at",), ["source", "text", "language", "status"])
-    return last.select(
+    arrived = arrivals(table(spark, root, "events"), table(spark, root, "documents"))
+    versions = arrived.select("event_id", "doc_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("received_at"))
+    # Versions are reduced first, so that a text is joined and moved once per document.
+    last = upserts.latest(versions, ["doc_id"], "event_id", ("received_at",), ["event_type"])
+    docs = table(spark, root, "documents").select("doc_id", "source", "lang", "text")
+    return last.join(docs, "doc_id").select(
         document_uuid(F.col("doc_id")).alias("id"),
         source_uuid(F.col("source")).alias("source_id"),
         F.col("text").alias("original_text"),
         F.lit(None).cast("string").alias("hash"),
-        blank_to_null(F.col("language")).alias("language"),
-        "status",
+        blank_to_null(F.expr(_LANGUAGE.format(upper="upper(lang)"))).alias("language"),
+        F.when(F.col("event_type") == "error", "failed").otherwise("done").alias("status"),
         "received_at",
     )
 

@@ -34,6 +34,17 @@ def arrivals(events: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
+def arrivals_by_hour(arrived: DataFrame) -> DataFrame:
+    """Arrivals per document and hour (doc_id, h, arrivals). Counted before any join: a document
+    that holds a third of all arrivals brings one row per hour to its join task."""
+    return arrived.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("arrivals"))
+
+
+def hourly_feed(events: DataFrame, documents: DataFrame, scored: DataFrame) -> DataFrame:
+    """The feed for hourly aggregates: one row per document and hour with its number of arrivals."""
+    return arrivals_by_hour(arrivals(events, documents)).join(scored, "doc_id")
+
+
 def feed(events: DataFrame, documents: DataFrame, scored: DataFrame) -> DataFrame:
     """Arrivals joined with documents that were analysed once each: texts are never shuffled,
     only the narrow analysed rows are."""
