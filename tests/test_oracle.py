@@ -9,7 +9,7 @@ from oracle_check import connect, differences
 
 DATA = os.environ.get("VOCALE_TEST_DATA", "/root/testdata/sf0.001")
 ROWS_ONLY = {
-    "pack_batches", "stage_metrics", "score_sentiment_ml", "train_forecast", "feature_importance", "alerts",
+    "stage_metrics", "score_sentiment_ml", "train_forecast", "feature_importance", "alerts",
 }
 
 

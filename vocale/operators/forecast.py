@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from vocale.operators.hourly import dense, roll_up
 from vocale.operators.rolling import (
     WINDOWS, entity_delta, future_negatives, in_blocks, language_shift, frame, new_entities, own_rows, rolling,
+    threshold as spike_level,
 )
 
 OTHER = "other"
@@ -173,6 +174,16 @@ def train_forecast(rows: DataFrame, cut: float = 0.5, parallelism: int = 4) -> D
         return reduce(DataFrame.unionByName, list(pool.map(inheritable_thread_target(rows.sparkSession)(run), weights)))
 
 
+def fit_history(table: DataFrame, sigma: float = 2.0) -> PipelineModel | None:
+    """A model on all hours with a known target; None when they are of one class."""
+    limit = spike_level(table, sigma).select("threshold").scalar()
+    rows = table.withColumn("y", (F.col("future_negatives") > limit).cast("int"))
+    counts = class_weights(rows.withColumns({"fold": F.lit(0), "role": F.lit("train")})).first()
+    if counts is None or not counts["positives"] or not counts["negatives_rows"]:
+        return None
+    return fit(rows.filter(F.col("y").isNotNull()), feature_names(table), counts["weight"])
+
+
 def rule_prediction(rows: DataFrame) -> DataFrame:
     """Test rows of a rule in place of a model: a spike follows when the last day was one."""
     return rows.filter(F.col("role") == "test").withColumn(

@@ -173,15 +173,8 @@ def train_forecast(spark, root):
 
 
 def _final_model(spark, root):
-    """A model on all hours with a known target, None when they are of one class."""
     table = stored(spark, _table(spark, root), "training")
-    limit = threshold(table).select("threshold").scalar()
-    rows = table.withColumn("y", (F.col("future_negatives") > limit).cast("int"))
-    names = fc.feature_names(table)
-    weight = fc.class_weights(rows.withColumns({"fold": F.lit(0), "role": F.lit("train")})).first()
-    if weight is None or not weight["positives"] or not weight["negatives_rows"]:
-        return table, names, None
-    return table, names, fc.fit(rows.filter(F.col("y").isNotNull()), names, weight["weight"])
+    return table, fc.feature_names(table), fc.fit_history(table)
 
 
 @query("feature_importance")

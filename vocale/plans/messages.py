@@ -442,10 +442,18 @@ def decoded(spark, root):
 # --- Python inference jobs -----------------------------------------------------------------
 
 
-@query("pack_batches")
+@query(
+    "pack_batches",
+    f"""WITH {o.DOCS}
+SELECT doc_id, least(len(string_split(norm, ' ')) + 2, 512)::INTEGER AS n_tokens, true AS within_budget FROM docs""",
+)
 def pack_batches(spark, root):
+    """Which rows share a pack depends on the partitions; the budget must hold for each."""
     packs = inference.pack(normalized(spark, root).select("doc_id", "norm"))
-    return packs.groupBy("pack_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_tokens").alias("tokens"))
+    fits = (F.col("pack_rows") <= inference.MAX_ROWS) & (
+        (F.col("pack_tokens") <= inference.MAX_TOKENS) | (F.col("pack_rows") == 1)
+    )
+    return packs.select("doc_id", "n_tokens", fits.alias("within_budget"))
 
 
 @query(
