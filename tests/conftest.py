@@ -11,6 +11,6 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 def spark():
     from vocale.session import build_session
 
-    session = build_session("vocale-tests", 8, "6g")
+    session = build_session("vocale-tests", 8, "6g", partitions=2)
     yield session
     session.stop()

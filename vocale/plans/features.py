@@ -10,7 +10,7 @@ from vocale.operators.sentiment import score_sentiment
 from vocale.operators.summarize import raw_summary
 from vocale.plans import oracle as o
 from vocale.plans.inputs import (
-    dense_counts, feedback, hourly_feedback, mentions_by_hour, normalized, rounded, show_hour, span, stored,
+    as_double, dense_counts, feedback, hourly_feedback, mentions_by_hour, normalized, rounded, show_hour, span, stored,
 )
 from vocale.plans.registry import query
 from vocale.sources.feed import hourly_feed, table
@@ -222,11 +222,11 @@ level AS (
 @query(
     "spike_target",
     f"""WITH {_FUTURE}
-SELECT hour, negatives, future_negatives, round(threshold, 6) AS threshold,
-       (future_negatives > threshold)::INTEGER AS y
+SELECT hour, negatives, future_negatives::DOUBLE AS future_negatives, round(threshold, 6) AS threshold,
+       (future_negatives > threshold)::INTEGER::DOUBLE AS y
 FROM future, level""",
 )
 def spike_target(spark, root):
     stats = stored(spark, dense_counts(spark, root), "hours")
     out = show_hour(rolling.spike_target(stats)).drop("total", "neg_score_sum")
-    return rounded(out, "threshold")
+    return rounded(as_double(out, "future_negatives", "y"), "threshold")

@@ -9,7 +9,7 @@ from vocale.operators.hourly import hourly_counts
 from vocale.operators.rolling import WINDOWS, entity_delta, threshold, top_rising
 from vocale.plans import oracle as o
 from vocale.plans.features import _FUTURE, _over, _sql_rate
-from vocale.plans.inputs import dense_counts, hourly_feedback, mentions_by_hour, rounded, show_hour, stored
+from vocale.plans.inputs import as_double, dense_counts, hourly_feedback, mentions_by_hour, rounded, show_hour, stored
 from vocale.plans.registry import query
 
 # The sources and languages the model has features for; others share one column.
@@ -74,22 +74,23 @@ training AS (
   FROM rolled r JOIN future f USING (hour) LEFT JOIN source_rates s USING (hour) LEFT JOIN lang_shares l USING (hour))"""
 
 _DOUBLES = (
-    ["neg_score_sum"]
+    ["neg_score_sum", "future_negatives"]
     + [f"{p}_{x}h" for x in WINDOWS for p in ("negative_rate", "avg_sentiment_score", "negative_rate_change")]
     + [f"negative_rate_{s}" for s in (*SOURCES, fc.OTHER)]
     + [f"share_{x}" for x in (*LANGUAGES, fc.OTHER)]
 )
-_WHOLE = ["total", "negatives", "future_negatives"] + [f"negative_volume_{x}h" for x in WINDOWS]
+_WHOLE = ["total", "negatives"] + [f"negative_volume_{x}h" for x in WINDOWS]
 
 
 @query(
     "training_table",
     f"""WITH {_TRAINING}
-SELECT hour, {", ".join(_WHOLE)}, {", ".join(f"round({d}, 6) + 0.0 AS {d}" for d in _DOUBLES)} FROM training""",
+SELECT hour, {", ".join(_WHOLE)}, {", ".join(f"round({d}::DOUBLE, 6) + 0.0 AS {d}" for d in _DOUBLES)} FROM training""",
 )
 def training_table(spark, root):
     """All numeric features; the entity and language-shift columns have their own queries."""
-    return rounded(show_hour(_table(spark, root)).select("hour", *_WHOLE, *_DOUBLES), *_DOUBLES)
+    out = show_hour(_table(spark, root)).select("hour", *_WHOLE, *_DOUBLES)
+    return rounded(as_double(out, "future_negatives"), *_DOUBLES)
 
 
 _CUT = "(SELECT min(hour) + INTERVAL 480 HOUR FROM hourly)"
@@ -136,9 +137,10 @@ targets AS (
   SELECT *, (future_negatives > threshold)::INTEGER AS y FROM fold_rows JOIN limits USING (fold))"""
 
 
-@query("walk_forward_folds", f"WITH {_FOLDS} SELECT fold::BIGINT AS fold, hour, role, future_negatives, y FROM targets")
+@query("walk_forward_folds", f"WITH {_FOLDS} SELECT fold::BIGINT AS fold, hour, role, future_negatives::DOUBLE AS future_negatives, y::DOUBLE AS y FROM targets")
 def walk_forward_folds(spark, root):
-    return show_hour(_fold_rows(spark, root)).select("fold", "hour", "role", "future_negatives", "y")
+    out = show_hour(_fold_rows(spark, root)).select("fold", "hour", "role", "future_negatives", "y")
+    return as_double(out, "future_negatives", "y")
 
 
 @query(

@@ -61,6 +61,11 @@ def show_hour(df: DataFrame) -> DataFrame:
     return df.select(hour, *[c for c in df.columns if c != "h"])
 
 
+def as_double(df: DataFrame, *names: str) -> DataFrame:
+    """Whole numbers that may be NULL, in the one type every client shows alike."""
+    return df.withColumns({n: F.col(n).cast("double") for n in names})
+
+
 def rounded(df: DataFrame, *names: str) -> DataFrame:
     """Averages and rates to six digits, with no negative zero."""
     return df.withColumns({n: F.round(F.col(n), 6) + F.lit(0.0) for n in names})

@@ -409,7 +409,7 @@ def stamped(spark, root):
 counts AS (SELECT doc_id, count(*)::INTEGER AS n_entities FROM found GROUP BY doc_id),
 rows AS (
   SELECT doc_id::VARCHAR AS doc_id, 0 AS pos, sentiment_label, round(sentiment_score, 6) AS sentiment_score,
-         coalesce(n_entities, 0)::INTEGER AS n_entities, NULL::VARCHAR AS error
+         coalesce(n_entities, 0)::DOUBLE AS n_entities, NULL::VARCHAR AS error
   FROM scored LEFT JOIN counts USING (doc_id)
   UNION ALL SELECT 'unknown-' || doc_id::VARCHAR, 1, NULL, NULL, NULL, 'timeout' FROM docs)
 SELECT *, 'lexicon' AS sentiment_model, 'patterns' AS ner_model, 'v1' AS prompt_version FROM rows""",
@@ -434,7 +434,7 @@ def decoded(spark, root):
     out = decode_response(docs.select(value.alias("value")))
     return out.select(
         "doc_id", "pos", "sentiment_label", F.round(F.col("sentiment_score").cast("double"), 6).alias("sentiment_score"),
-        F.when(F.col("entities").isNotNull(), F.size("entities")).alias("n_entities"), "error",
+        F.when(F.col("entities").isNotNull(), F.size("entities")).cast("double").alias("n_entities"), "error",
         "sentiment_model", "ner_model", "prompt_version",
     )
 

@@ -8,7 +8,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build_session(app: str, cpus: int | None = None, memory: str = "8g") -> SparkSession:
+def build_session(
+    app: str, cpus: int | None = None, memory: str = "8g", partitions: int | None = None
+) -> SparkSession:
     """A local session for tests and the bench; on a cluster the submitter's settings apply."""
     master = f"local[{cpus}]" if cpus else "local[*]"
     spark = (
@@ -17,7 +19,7 @@ def build_session(app: str, cpus: int | None = None, memory: str = "8g") -> Spar
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
-        .config("spark.sql.shuffle.partitions", str(cpus or 8))
+        .config("spark.sql.shuffle.partitions", str(partitions or cpus or 8))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
