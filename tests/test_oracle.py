@@ -4,8 +4,9 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from oracle_check import connect, differences
+from vocale.plans import ORACLES, QUERIES
 
 DATA = os.environ.get("VOCALE_TEST_DATA", "/root/testdata/sf0.001")
 ROWS_ONLY = {
@@ -18,13 +19,13 @@ def con():
     return connect(DATA)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    ours = queries()[name](spark, DATA).toPandas()
+    ours = QUERIES[name](spark, DATA).toPandas()
     if name in ROWS_ONLY:
-        assert name not in oracle_sql()
+        assert name not in ORACLES
         return
-    assert differences(ours, con.execute(oracle_sql()[name]).df()) == []
+    assert differences(ours, con.execute(ORACLES[name]).df()) == []
 
 
 def test_entry(spark):
