@@ -190,6 +190,50 @@ def test_batches_number_a_hot_source_like_a_plain_count(spark):
         batches.assign_batches(df, 257)
 
 
+def test_batches_keep_messages_without_source_or_time(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, None if i % 3 == 0 else base + dt.timedelta(seconds=i), None if i % 4 == 0 else "s") for i in range(9000, 19000, 7)]
+    df = spark.createDataFrame(rows, "event_id int, ts timestamp, source string")
+    got = {r["event_id"]: r["batch_no"] for r in batches.assign_batches(df).collect()}
+    expected, seen = {}, {}
+    for event_id, ts, source in sorted(rows, key=lambda r: (r[1] is not None, r[1] or base, r[0])):
+        n = seen[source] = seen.get(source, 0) + 1
+        expected[event_id] = (n - 1) // 32 + 1
+    assert got == expected
+
+
+def test_reconcile_counts_batches_without_a_key(spark):
+    rows = spark.createDataFrame([(None, "done"), (None, "done"), ("b", "failed")], "batch_id string, status string")
+    got = {r["batch_id"]: (r["runs_total"], r["ok"]) for r in batches.reconcile(rows, rows, rows.filter("status = 'done'")).collect()}
+    assert got == {None: (2, True), "b": (1, True)}
+
+
+def test_hours_of_an_unknown_language_are_counted(spark):
+    counts = spark.createDataFrame([(None, 1, 5), (None, 3, 2), ("it", 2, 1)], "lang string, h long, total long")
+    got = {(r["lang"], r["h"]): r["total"] for r in hourly.dense(counts, "lang").collect()}
+    assert got == {(None, 1): 5, (None, 2): 0, (None, 3): 2, ("it", 2): 1, ("it", 3): 0}
+
+
+def test_long_addresses_are_whole(spark):
+    local = "a" * 80 + ".b"
+    docs = spark.createDataFrame([(f"scrivi a {local}@example.com o {'x' * 50000}",)], "norm string")
+    found = extract_entities(docs).first()["entities"]
+    assert [e["text"] for e in found] == [f"{local}@example.com"]
+    assert (found[0]["start"], found[0]["end"]) == (9, 9 + len(local) + 12)
+
+
+def test_long_texts_count_whole_and_sentences_are_not_cut(spark):
+    docs = spark.createDataFrame([(i, "w " * 20_000) for i in range(11)], "doc_id int, norm string").coalesce(1)
+    assert {r["pack_rows"] for r in inference.pack(docs).collect()} == {1}
+    short = inference.pack(docs, max_length=512).collect()
+    assert {(r["n_tokens"], r["pack_rows"]) for r in short} == {(512, 11)}
+    long = "pessimo " + "molto " * 60 + "davvero."
+    rows = [(1, f"{long} Servizio pessimo."), (2, long)]
+    out = summarize_negative(score_sentiment(spark.createDataFrame(rows, "doc_id int, norm string"))).collect()
+    got = {r["doc_id"]: (r["summary"], r["summary_error"]) for r in out}
+    assert '"summary": "Servizio pessimo."' in got[1][0] and got[2] == (None, "invalid_summary_schema")
+
+
 def test_reconcile_golden_and_unfinished(spark):
     runs = spark.createDataFrame([("b", "done"), ("b", "failed")], "batch_id string, status string")
     results = runs.filter("status = 'done'")

@@ -9,9 +9,7 @@ from oracle_check import connect, differences
 from vocale.plans import ORACLES, QUERIES
 
 DATA = os.environ.get("VOCALE_TEST_DATA", "/root/testdata/sf0.001")
-ROWS_ONLY = {
-    "stage_metrics", "score_sentiment_ml", "train_forecast", "feature_importance", "alerts",
-}
+ROWS_ONLY = {"feature_importance", "alerts"}
 
 
 @pytest.fixture(scope="module")

@@ -1,5 +1,6 @@
 """What the plans must look like: one pass over texts, pruned scans, no single-task windows."""
 
+import pathlib
 import re
 
 import pytest
@@ -45,6 +46,16 @@ def test_every_window_is_partitioned(spark, name):
     assert windows and all("ASC" not in w and "DESC" not in w for w in windows)
 
 
+@pytest.mark.parametrize("name", ["language_distribution", "upsert_sources", "run_ids", "replay_set", "upsert_runs", "resolve_models"])
+def test_no_text_is_read_where_no_score_is_used(spark, name):
+    assert not any("text:string" in s for s in scans(plan_of(spark, name), "documents"))
+
+
+def test_nothing_uses_a_machine_local_folder():
+    package = pathlib.Path(__file__).resolve().parent.parent / "vocale"
+    assert not [p for p in package.rglob("*.py") if re.search(r"tempfile|mkdtemp|gettempdir", p.read_text())]
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = plan_of(spark, "cascade_delete")
     assert "PushedFilters: [IsNotNull(event_type), Not(EqualTo(event_type,signup))" in plan

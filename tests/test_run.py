@@ -20,6 +20,7 @@ def _messages(spark, n):
 def test_enrich_job(spark, tmp_path):
     path, root = tmp_path / "messages.json", str(tmp_path / "store")
     path.write_text(json.dumps(_messages(spark, 60), ensure_ascii=False))
+    run.run_enrich(spark, str(path), root)
     run.run_enrich(spark, str(path), root, 0)
     assert epochs.epochs(spark, root).first()["runs_done"] == 60
     names = {r["name"] for r in epochs.current(spark, root, "source_metadata").collect()}
@@ -56,7 +57,7 @@ def test_forecast_job_reads_the_stored_history(spark, tmp_path):
     stats = hourly_stats(feed)
     assert stats.count() == 200
     assert stats.agg(F.sum("total")).first()[0] == 1200
-    assert run.run_forecast(spark, root, out, ["source-app"], ["it"])
+    assert run.run_forecast(spark, root, out)
     alerts = spark.read.parquet(f"{out}/alerts")
     assert alerts.count() > 0 and alerts.filter("reason = 'Acme Corp'").count() > 0
     assert spark.read.parquet(f"{out}/feedback_hourly_stats").count() == 200

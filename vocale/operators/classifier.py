@@ -13,15 +13,23 @@ from vocale.operators.sentiment import to_public
 
 
 def train_classifier(docs: DataFrame, labels: DataFrame, text: str = "norm", features: int = 4096) -> PipelineModel:
-    """Fit on the labelled documents; a toxic document counts as negative."""
-    training = docs.join(labels, "doc_id").select(text, F.col("toxic").cast("double").alias("label"))
-    stages = [
+    """Fit on the labelled documents; a toxic document counts as negative.
+
+    Texts become term counts where they are read; the counts are joined with the labels and kept
+    for the passes over them.
+    """
+    words = Pipeline(stages=[
         RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}]+"),
         HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
+    ]).fit(docs)
+    counted = words.transform(docs).select("doc_id", "_tf")
+    training = counted.join(labels.select("doc_id", F.col("toxic").cast("double").alias("label")), "doc_id").persist()
+    model = Pipeline(stages=[
         IDF(inputCol="_tf", outputCol="_features"),
         LogisticRegression(featuresCol="_features", labelCol="label", maxIter=20, regParam=0.01),
-    ]
-    return Pipeline(stages=stages).fit(training)
+    ]).fit(training)
+    training.unpersist()
+    return PipelineModel(stages=[*words.stages, *model.stages])
 
 
 def classify(model: PipelineModel, docs: DataFrame) -> DataFrame:

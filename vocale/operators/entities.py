@@ -9,8 +9,11 @@ from vocale.functions.analysis import keep_entities
 from vocale.functions.lexicon import ORGANISATIONS, PLACES
 
 # The patterns, in the order they are tried at each position. The local part of an
-# e-mail address is taken whole ({1,64}+): it has no '@' to give back.
-EMAIL = r"[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+# e-mail address is taken whole, of any length (++: it has no '@' to give back). It is tried only
+# where such a run begins or the match before ends, so a long run is read once.
+LOCAL = r"[A-Za-z0-9._%+\-]"
+RUN_START = rf"(?:(?<!{LOCAL})|\G)"
+EMAIL = rf"{RUN_START}{LOCAL}++@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}"
 PHONE = r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 NAME = r"\p{Lu}[\p{L}0-9]*(?: \p{Lu}[\p{L}0-9]*)*"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from vocale.functions.analysis import NEGATIVE
+from vocale.operators.joins import join_equal
 
 COUNTS = ("total", "negatives", "neg_score_sum")
 
@@ -64,7 +65,8 @@ def dense(counts: DataFrame, *keys: str, span: DataFrame | None = None) -> DataF
         spans = spans.filter("_first is not null")
     spine = spans.select(*keys, F.explode(F.sequence("_first", "_last")).alias("h"))
     values = [c for c in counts.columns if c not in (*keys, "h")]
-    return spine.join(counts, [*keys, "h"], "left").na.fill(0, values)
+    joined = join_equal(spine, counts, (*keys, "h"), "left") if keys else spine.join(counts, "h", "left")
+    return joined.na.fill(0, values)
 
 
 def with_averages(stats: DataFrame) -> DataFrame:

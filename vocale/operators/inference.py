@@ -15,18 +15,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Rows and tokens per pack, token cap of one text.
+# Rows and tokens per pack.
 MAX_ROWS = 32
 MAX_TOKENS = 6000
-TOKEN_CAP = 512
 
 # A scorer gets the texts of one pack and gives one value per text, or raises.
 Scorer = Callable[[list[str]], list]
 
 
-def token_count(text: Column, cap: int = TOKEN_CAP) -> Column:
-    """Approximate tokens: words plus the two special tokens, capped."""
-    return F.least(F.size(F.split(text, " ")) + 2, F.lit(cap)).cast("int")
+def token_count(text: Column) -> Column:
+    """Approximate tokens: words plus the two special tokens."""
+    return (F.size(F.split(text, " ")) + 2).cast("int")
+
+
+def first_tokens(text: Column, max_length: int) -> Column:
+    """The words of a text that a model of ``max_length`` tokens reads."""
+    return F.array_join(F.slice(F.split(text, " "), 1, max_length - 2), " ")
 
 
 def _packs(frames: Iterator[pd.DataFrame], max_rows: int, max_tokens: int) -> Iterator[pd.DataFrame]:
@@ -46,7 +50,9 @@ def _packs(frames: Iterator[pd.DataFrame], max_rows: int, max_tokens: int) -> It
         yield rest
 
 
-def _by_length(df: DataFrame, text: str, key: str) -> DataFrame:
+def _by_length(df: DataFrame, text: str, key: str, max_length: int | None = None) -> DataFrame:
+    if max_length is not None:
+        df = df.withColumn(text, first_tokens(F.col(text), max_length))
     return df.withColumn("n_tokens", token_count(F.col(text))).sortWithinPartitions("n_tokens", key)
 
 
@@ -56,10 +62,14 @@ def _with(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
 
 def pack(
     df: DataFrame, text: str = "norm", key: str = "doc_id", max_rows: int = MAX_ROWS,
-    max_tokens: int = MAX_TOKENS,
+    max_tokens: int = MAX_TOKENS, max_length: int | None = None,
 ) -> DataFrame:
-    """Rows (key, n_tokens, pack_id, pack_rows, pack_tokens); pack_id is unique per partition and pack."""
-    slim = _by_length(df.select(key, text), text, key).select(key, "n_tokens")
+    """Rows (key, n_tokens, pack_id, pack_rows, pack_tokens); pack_id is unique per partition and pack.
+
+    A text over the budget is a pack of its own. ``max_length`` is for models that read so many
+    tokens of a text: it cuts the text itself, so that counts and load agree.
+    """
+    slim = _by_length(df.select(key, text), text, key, max_length).select(key, "n_tokens")
 
     def run(frames):
         part = TaskContext.get().partitionId()
@@ -99,13 +109,14 @@ def score(
     key: str = "doc_id",
     max_rows: int = MAX_ROWS,
     max_tokens: int = MAX_TOKENS,
+    max_length: int | None = None,
 ) -> DataFrame:
     """Add raw_label, raw_score, error and seconds (the row's share of its pack's time).
 
     ``make_scorer`` runs once per task, so a model is loaded there and not sent with the plan.
     A scorer value is a dict with label and score.
     """
-    ready = _by_length(df, text, key)
+    ready = _by_length(df, text, key, max_length)
 
     def run(frames):
         scorer = make_scorer()
@@ -134,12 +145,13 @@ def extract(
     key: str = "doc_id",
     max_rows: int = MAX_ROWS,
     max_tokens: int = MAX_TOKENS,
+    max_length: int | None = None,
 ) -> DataFrame:
     """Add raw_entities, error and seconds; an extractor value is a list of entity dicts with
     text, label, start, end, score. Offsets are those of the given text."""
     from vocale.schemas import ENTITIES_DDL
 
-    ready = _by_length(df, text, key)
+    ready = _by_length(df, text, key, max_length)
 
     def run(frames):
         extractor = make_extractor()
@@ -171,6 +183,41 @@ def stage_metrics(scored: DataFrame, stage: str) -> DataFrame:
     )
 
 
+def pattern_extractor() -> Scorer:
+    """The entity patterns as a Python extractor: all matches, scored as the columns score them."""
+    import regex
+
+    from vocale.functions.lexicon import ORGANISATIONS, PLACES
+    from vocale.operators.entities import EMAIL, IP, NAME, PHONE, RUN_START, SCORES, WEAK_SCORE
+
+    # The module has no mark for the end of the last match, but tells where a run begins.
+    found = regex.compile("|".join((EMAIL.replace(RUN_START, ""), PHONE, IP, NAME)))
+    organisations, places = frozenset(ORGANISATIONS), frozenset(PLACES)
+
+    def label_of(match: str) -> str:
+        words = set(match.split(" "))
+        if "@" in match:
+            return "EMAIL"
+        if match.startswith("+"):
+            return "PHONE"
+        if "0" <= match[0] <= "9":
+            return "IP"
+        return "ORG" if words & organisations else "LOC" if words & places else "MISC"
+
+    def run(texts: list[str]) -> list[list[dict]]:
+        out = []
+        for text in texts:
+            rows = []
+            for m in found.finditer(text):
+                label = label_of(m.group())
+                score = WEAK_SCORE if label == "MISC" and " " not in m.group() else SCORES[label]
+                rows.append({"text": m.group(), "label": label, "start": m.start(), "end": m.end(), "score": score})
+            out.append(rows)
+        return out
+
+    return run
+
+
 def lexicon_scorer() -> Scorer:
     """The lexicon as a Python scorer; a text without any letter is refused."""
     import regex

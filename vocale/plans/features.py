@@ -58,7 +58,7 @@ SELECT hour, lang, count(*) AS total,
 FROM feed GROUP BY hour, lang""",
 )
 def language_distribution(spark, root):
-    return rounded(show_hour(hourly.language_mix(hourly_feedback(spark, root))), "share")
+    return rounded(show_hour(hourly.language_mix(hourly_feedback(spark, root, scores=False))), "share")
 
 
 @query("entity_hourly", f"WITH {o.MENTIONS} SELECT entity, label, hour, mentions FROM mentions")
@@ -170,7 +170,7 @@ SELECT hour, round(0.5 * sum(abs(p::DOUBLE / nullif(p_all, 0)::DOUBLE - q::DOUBL
 FROM sums JOIN whole USING (hour) GROUP BY hour""",
 )
 def language_shift(spark, root):
-    counts = hourly.language_mix(hourly_feedback(spark, root)).select("lang", "h", "total")
+    counts = hourly.language_mix(hourly_feedback(spark, root, scores=False)).select("lang", "h", "total")
     return rounded(show_hour(rolling.language_shift(stored(spark, counts, "languages"))), "shift")
 
 

@@ -168,10 +168,22 @@ def forecast_metrics(spark, root):
     return rounded(fc.metrics(fc.rule_prediction(_fold_rows(spark, root))), "recall", "precision")
 
 
-@query("train_forecast")
+@query(
+    "train_forecast",
+    f"""WITH {_FOLDS},
+classes AS (SELECT fold, count(DISTINCT y) AS n FROM targets WHERE role = 'train' GROUP BY fold)
+SELECT fold::BIGINT AS fold, hour, y::DOUBLE AS y, n = 2 AS scored, true AS consistent
+FROM targets JOIN classes USING (fold) WHERE role = 'test'""",
+)
 def train_forecast(spark, root):
+    """Test hours of every fold: scored where its training part has both classes, with a
+    probability in range and the prediction that follows from it."""
     rows = fc.with_target(fc.folds(stored(spark, _table(spark, root), "training")))
-    return show_hour(fc.train_forecast(stored(spark, rows, "folds")))
+    out = show_hour(fc.train_forecast(stored(spark, rows, "folds")))
+    p = F.col("probability")
+    agrees = F.col("prediction") == (p > 0.5).cast("int")
+    fits = F.when(p.isNull(), F.col("prediction").isNull()).otherwise(p.between(0, 1) & agrees)
+    return as_double(out.select("fold", "hour", "y", p.isNotNull().alias("scored"), fits.alias("consistent")), "y")
 
 
 def _final_model(spark, root):

@@ -32,14 +32,21 @@ def scored(spark: SparkSession, root: str) -> DataFrame:
     return score_sentiment(documents(spark, root), "text").drop("text")
 
 
-def feedback(spark: SparkSession, root: str) -> DataFrame:
-    """The feed of analysed arrivals."""
-    return feed(table(spark, root, "events"), table(spark, root, "documents"), scored(spark, root))
+def described(spark: SparkSession, root: str) -> DataFrame:
+    """Documents without text and score, for queries that need neither."""
+    return table(spark, root, "documents").select("doc_id", "source", "lang")
 
 
-def hourly_feedback(spark: SparkSession, root: str) -> DataFrame:
+def feedback(spark: SparkSession, root: str, scores: bool = True) -> DataFrame:
+    """The feed of arrivals, analysed unless ``scores`` is off: then no text is read."""
+    rows = scored(spark, root) if scores else described(spark, root)
+    return feed(table(spark, root, "events"), table(spark, root, "documents"), rows)
+
+
+def hourly_feedback(spark: SparkSession, root: str, scores: bool = True) -> DataFrame:
     """The feed counted by document and hour, for hourly aggregates."""
-    return hourly_feed(table(spark, root, "events"), table(spark, root, "documents"), scored(spark, root))
+    rows = scored(spark, root) if scores else described(spark, root)
+    return hourly_feed(table(spark, root, "events"), table(spark, root, "documents"), rows)
 
 
 def negative_documents(spark: SparkSession, root: str, offsets: bool = True) -> DataFrame:
@@ -81,10 +88,10 @@ def dense_counts(spark: SparkSession, root: str) -> DataFrame:
     return dense(hourly_counts(hourly_feedback(spark, root)), span=span(spark, root))
 
 
-def work(spark: SparkSession, root: str) -> DataFrame:
+def work(spark: SparkSession, root: str, scores: bool = True) -> DataFrame:
     """The feed as processed messages: error events are failed runs, value gives the time taken."""
     failed = F.col("event_type") == "error"
-    return feedback(spark, root).withColumns(
+    return feedback(spark, root, scores).withColumns(
         {
             "status": F.when(failed, "failed").otherwise("done"),
             "error": F.when(failed, "inference error: timeout"),

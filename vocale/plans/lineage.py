@@ -69,7 +69,7 @@ def match_audit(spark, root):
        NULL::VARCHAR AS url, 'unknown' AS default_language FROM documents""",
 )
 def upsert_sources(spark, root):
-    return upserts.upsert_sources(feedback(spark, root), "event_id")
+    return upserts.upsert_sources(feedback(spark, root, scores=False), "event_id")
 
 
 _LANGUAGE = "CASE WHEN event_type = 'signup' THEN ' ' WHEN event_type = 'view' THEN {upper} ELSE lang END"
@@ -160,9 +160,9 @@ def resolve_models(spark, root):
     return out.select("event_id", *[f"{t}_model_id" for t in ln.TASKS])
 
 
-def _runs(spark, root):
+def _runs(spark, root, scores=False):
     """Run versions: all arrivals of a document in one week are tries of the same run."""
-    rows = work(spark, root)
+    rows = work(spark, root, scores)
     run = run_uuid(F.col("doc_id"), F.col("week"), F.lit("lexicon"))
     return rows.withColumn("run_id", run).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
@@ -203,7 +203,7 @@ SELECT {_RUN_ID} AS analysis_run_id, sentiment_label, round(sentiment_score, 6)
 FROM work WHERE status = 'done' QUALIFY row_number() OVER (PARTITION BY doc_id, week ORDER BY event_id DESC) = 1""",
 )
 def upsert_results(spark, root):
-    done = _runs(spark, root).filter(F.col("status") == "done")
+    done = _runs(spark, root, scores=True).filter(F.col("status") == "done")
     columns = ["sentiment_label", "sentiment_score", "processing_ms"]
     last = upserts.latest(done, ["run_id"], "event_id", columns=columns).withColumnRenamed("run_id", "analysis_run_id")
     return rounded(last.withColumn("processing_ms", tb.clamp_ms(F.col("processing_ms"))), "sentiment_score")
@@ -211,7 +211,7 @@ def upsert_results(spark, root):
 
 @query("run_ids", f"WITH {o.WORK} SELECT event_id, doc_id, {_RUN_ID} AS run_id FROM work")
 def run_ids(spark, root):
-    rows = upserts.with_run_id(work(spark, root), F.col("week"), F.lit("lexicon"))
+    rows = upserts.with_run_id(work(spark, root, scores=False), F.col("week"), F.lit("lexicon"))
     return rows.select("event_id", "doc_id", "run_id")
 
 
@@ -236,8 +236,8 @@ def dedup_by_hash(spark, root):
 # --- batches -------------------------------------------------------------------------------
 
 
-def _batched(spark, root):
-    return batches.assign_batches(stored(spark, work(spark, root), "work"))
+def _batched(spark, root, scores=False):
+    return batches.assign_batches(stored(spark, work(spark, root, scores), "work"))
 
 
 @query("assign_batches", f"WITH {o.WORK} SELECT event_id, source, batch_no::BIGINT AS batch_no, batch_id FROM work")
@@ -267,7 +267,7 @@ SELECT source, batch_id, count(*) FILTER (sentiment_label = 'Positive') AS posit
 FROM work GROUP BY ALL""",
 )
 def label_tally(spark, root):
-    return batches.label_tally(_batched(spark, root))
+    return batches.label_tally(_batched(spark, root, scores=True))
 
 
 @query(

@@ -118,15 +118,16 @@ def status_name(spark, root):
 
 @query(
     "validate_input",
-    f"""SELECT doc_id, CASE WHEN {o.collapse('text')} = '' THEN 'blank_text' END AS reason
-FROM (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN concat(' ', chr(9), chr(160)) WHEN doc_id % 9 = 1 THEN NULL ELSE text END AS text
+    f"""SELECT message, CASE WHEN message % 9 = 2 THEN 'blank_id' WHEN {o.collapse('text')} = '' THEN 'blank_text' END AS reason
+FROM (SELECT doc_id AS message, CASE WHEN doc_id % 9 = 0 THEN concat(' ', chr(9), chr(160)) WHEN doc_id % 9 = 1 THEN NULL ELSE text END AS text
       FROM documents)""",
 )
 def validated(spark, root):
     blank = F.concat(F.lit(" "), F.lit("\t"), F.lit(" "))
     text = F.when(F.col("doc_id") % 9 == 0, blank).when(F.col("doc_id") % 9 != 1, F.col("text"))
-    rows = documents(spark, root).select("doc_id", text.alias("text"))
-    return validate_input(rows).select("doc_id", "reason")
+    blank_id = F.when(F.col("doc_id") % 18 == 2, F.lit(" ")).when(F.col("doc_id") % 9 != 2, F.col("doc_id").cast("string"))
+    rows = documents(spark, root).select(F.col("doc_id").alias("message"), blank_id.alias("doc_id"), text.alias("text"))
+    return validate_input(rows).select("message", "reason")
 
 
 # --- labels, errors, times -----------------------------------------------------------------
@@ -354,13 +355,16 @@ def validate_summary(spark, root):
 _SUMMARIES = rf"""{o.FOUND},
 sentences AS (
   SELECT doc_id, sentiment_label, n_neg,
-         trim(list_filter(regexp_extract_all(norm, '[^.!?]+[.!?]*'),
-              lambda s: list_has_any({o.words('s')}, {o.items(o.flat(o.NEGATIVE_TERMS))}))[1]) AS sentence,
+         list_transform(list_filter(regexp_extract_all(norm, '[^.!?]+[.!?]*'),
+              lambda s: list_has_any({o.words('s')}, {o.items(o.flat(o.NEGATIVE_TERMS))})), lambda s: trim(s)) AS hits,
+         coalesce(list_filter(hits, lambda s: length(s) <= 200)[1], hits[1]) AS sentence,
          CASE WHEN n_neg >= 3 THEN 'critica' WHEN n_neg = 2 THEN 'alta' ELSE 'media' END AS urgency
   FROM scored),
 summaries AS (
-  SELECT doc_id, CASE WHEN sentiment_label = 'Negative' THEN
-    '{{"summary": ' || to_json(substr(sentence, 1, 200))::VARCHAR || ', "urgency": "' || urgency || '", "suggested_action": "'
+  SELECT doc_id, CASE WHEN sentiment_label = 'Negative' AND length(sentence) > 200 THEN 'invalid_summary_schema' END
+           AS summary_error,
+         CASE WHEN sentiment_label = 'Negative' AND length(sentence) <= 200 THEN
+    '{{"summary": ' || to_json(sentence)::VARCHAR || ', "urgency": "' || urgency || '", "suggested_action": "'
     || CASE urgency WHEN 'critica' THEN {o.text(ACTIONS['critica'])} WHEN 'alta' THEN {o.text(ACTIONS['alta'])}
        ELSE {o.text(ACTIONS['media'])} END || '"}}' END AS summary
   FROM sentences)"""
@@ -368,7 +372,7 @@ summaries AS (
 
 @query(
     "conditional_summary",
-    f"WITH {_SUMMARIES} SELECT doc_id, sentiment_label, summary, NULL::VARCHAR AS summary_error FROM scored JOIN summaries USING (doc_id)",
+    f"WITH {_SUMMARIES} SELECT doc_id, sentiment_label, summary, summary_error FROM scored JOIN summaries USING (doc_id)",
 )
 def conditional_summary(spark, root):
     docs = summarize_negative(score_sentiment(normalized(spark, root)))
@@ -380,7 +384,7 @@ def conditional_summary(spark, root):
     f"""WITH {_SUMMARIES},
 counts AS (SELECT doc_id, count(*)::INTEGER AS n_entities FROM found GROUP BY doc_id)
 SELECT doc_id, sentiment_label, round(sentiment_score, 6) AS sentiment_score, coalesce(n_entities, 0)::INTEGER AS n_entities,
-       summary, NULL::VARCHAR AS error, 'done' AS status
+       summary, 'summary_failed: ' || summary_error AS error, 'done' AS status
 FROM scored JOIN summaries USING (doc_id) LEFT JOIN counts USING (doc_id) WHERE norm <> ''""",
 )
 def enriched(spark, root):
@@ -445,7 +449,7 @@ def decoded(spark, root):
 @query(
     "pack_batches",
     f"""WITH {o.DOCS}
-SELECT doc_id, least(len(string_split(norm, ' ')) + 2, 512)::INTEGER AS n_tokens, true AS within_budget FROM docs""",
+SELECT doc_id, (len(string_split(norm, ' ')) + 2)::INTEGER AS n_tokens, true AS within_budget FROM docs""",
 )
 def pack_batches(spark, root):
     """Which rows share a pack depends on the partitions; the budget must hold for each."""
@@ -470,17 +474,40 @@ def score_with_fallback(spark, root):
     return rounded(out.select("doc_id", "raw_label", "raw_score", "error"), "raw_score")
 
 
-@query("stage_metrics")
+@query("extract_with_fallback", _ENTITY_ROWS)
+def extract_with_fallback(spark, root):
+    """The packed extraction job, with the patterns as its model."""
+    out = inference.extract(normalized(spark, root).select("doc_id", "norm"), inference.pattern_extractor)
+    return _entity_rows(out.select("doc_id", a.keep_entities(F.col("raw_entities")).alias("entities")))
+
+
+@query(
+    "stage_metrics",
+    rf"""WITH {o.DOCS}
+SELECT stage, count(*) AS texts,
+       count(*) FILTER (stage = 'sentiment' AND NOT regexp_matches(norm, '\p{{L}}')) AS failed, true AS timed
+FROM docs, (SELECT unnest(['sentiment', 'ner']) AS stage) GROUP BY stage""",
+)
 def stage_metrics(spark, root):
-    out = inference.score(normalized(spark, root).select("doc_id", "norm"), inference.lexicon_scorer)
-    return inference.stage_metrics(out, "sentiment")
+    """Both Python stages; their times differ from run to run and are only checked to be there."""
+    docs = normalized(spark, root).select("doc_id", "norm")
+    stages = {"sentiment": inference.score(docs, inference.lexicon_scorer), "ner": inference.extract(docs, inference.pattern_extractor)}
+    made = [inference.stage_metrics(out, name) for name, out in stages.items()]
+    timed = (F.col("seconds") > 0) & (F.col("texts_per_second") > 0)
+    return made[0].unionByName(made[1]).select("stage", "texts", "failed", timed.alias("timed"))
 
 
-@query("score_sentiment_ml")
+@query(
+    "score_sentiment_ml",
+    "SELECT doc_id, true AS known_label, true AS signed_score FROM documents",
+)
 def score_sentiment_ml(spark, root):
+    """A trained model's labels are not SQL's to tell; their domain and the sign of the score are."""
     docs = normalized(spark, root).select("doc_id", "norm")
-    model = train_classifier(docs, table(spark, root, "labels"))
-    return classify(model, docs).select("doc_id", "sentiment_label", "sentiment_score")
+    out = classify(train_classifier(docs, table(spark, root, "labels")), docs)
+    label, score = F.col("sentiment_label"), F.col("sentiment_score")
+    signed = F.when(label == "Negative", score.between(-1, 0)).otherwise(score == 0)
+    return out.select("doc_id", label.isin("Negative", "Neutral").alias("known_label"), signed.alias("signed_score"))
 
 
 # --- generator and report ------------------------------------------------------------------

@@ -5,9 +5,10 @@ from __future__ import annotations
 from vocale.functions.ids import NAMESPACE_URL
 from vocale.functions.lexicon import NEGATIVE_TERMS, ORGANISATIONS, PLACES, POSITIVE_TERMS, flat
 from vocale.operators.entities import ANY as _ANY
+from vocale.operators.entities import RUN_START
 
-# RE2 never backtracks, so it has no possessive mark.
-ANY = _ANY.replace("{1,64}+@", "{1,64}@")
+# RE2 never backtracks, so it needs neither the possessive mark nor the start of the run.
+ANY = _ANY.replace(RUN_START, "").replace("++@", "+@")
 
 _WIDE = r"\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 SPACE = r"[\t-\r\x1c-\x20" + _WIDE + "]"

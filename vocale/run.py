@@ -1,4 +1,4 @@
-"""Jobs to submit: ``spark-submit vocale/run.py enrich|stream|forecast ...``.
+"""Jobs to submit: ``spark-submit --py-files vocale.zip submit.py enrich|stream|forecast ...``.
 
 enrich    read messages once and store one epoch
 stream    follow a folder of message files and store an epoch per micro-batch
@@ -31,27 +31,46 @@ def as_documents(messages: DataFrame) -> DataFrame:
     )
 
 
-def run_enrich(spark: SparkSession, path: str, root: str, epoch_id: int, multiline: bool = True) -> None:
-    messages = in_order(as_documents(read_messages(spark, path, multiline)))
-    analysed = enrich(messages).drop("norm")
-    epochs.write_epoch(analysed.withColumn("received_at", F.current_timestamp()), epoch_id, root)
+def run_enrich(
+    spark: SparkSession, path: str, root: str, epoch_id: int | None = None, multiline: bool = True,
+    strict_errors: bool = False,
+) -> None:
+    """Store the messages of ``path`` as one epoch: the next free one, or ``epoch_id`` to run the same
+    messages again."""
+    number = epochs.next_epoch(spark, root) if epoch_id is None else epoch_id
+    if not 0 <= number < epochs.STREAM_BASE:
+        raise ValueError(f"the epoch of a batch must be 0..{epochs.STREAM_BASE - 1}")
+    messages = as_documents(read_messages(spark, path, multiline))
+    analysed = enrich(in_order(messages), strict_errors=strict_errors).drop("norm")
+    stamped = analysed.withColumn("received_at", F.current_timestamp())
+    epochs.write_epoch(stamped, number, root, received=messages, origin=path)
 
 
 def run_stream(
-    spark: SparkSession, path: str, root: str, checkpoint: str, max_files: int | None = None, follow: bool = True
+    spark: SparkSession, path: str, root: str, checkpoint: str, max_files: int | None = None, follow: bool = True,
+    strict_errors: bool = False,
 ) -> None:
     messages = stream_messages(spark, path, MESSAGE, max_files, fmt="json")
-    query = enrich_stream(spark, as_documents(messages), root, checkpoint, flush=FLUSH if follow else None)
+    flush = FLUSH if follow else None
+    query = enrich_stream(spark, as_documents(messages), root, checkpoint, flush=flush, strict_errors=strict_errors)
     query.awaitTermination()
 
 
+def most_frequent(counts: DataFrame, column: str, limit: int = 50) -> list[str]:
+    """The ``limit`` values with most feedback; the forecast puts all others into one column."""
+    totals = counts.filter(F.col(column).isNotNull()).groupBy(column).agg(F.sum("total").alias("n"))
+    return sorted(r[0] for r in totals.orderBy(F.desc("n"), column).limit(limit).collect())
+
+
 def run_forecast(
-    spark: SparkSession, root: str, out: str, sources: list[str], languages: list[str], cut: float = 0.5
+    spark: SparkSession, root: str, out: str, sources: list[str] | None = None, languages: list[str] | None = None,
+    cut: float = 0.5,
 ) -> bool:
     """Write the alerts of the stored history; False when the history holds no spike to learn from.
 
     The hourly parts and the training table are written below ``out`` and read back, so the
-    history is read once and the model passes over one row per hour.
+    history is read once and the model passes over one row per hour. Sources and languages with
+    columns of their own are the most frequent ones of the history unless given.
     """
     feed = history({t: epochs.current(spark, root, t) for t in epochs.KEYS})
 
@@ -61,6 +80,8 @@ def run_forecast(
 
     counts = stored(hourly_counts(feed, "source", "lang"), "feedback_hourly_stats")
     mentions = stored(history_mentions(feed), "entity_hourly")
+    sources = most_frequent(counts, "source") if sources is None else sources
+    languages = most_frequent(counts, "lang") if languages is None else languages
     table = stored(fc.training_table(counts, mentions, sources, languages), "training_table")
     model = fc.fit_history(table)
     if model is None:
@@ -76,7 +97,7 @@ def main() -> None:
     one = jobs.add_parser("enrich")
     one.add_argument("path")
     one.add_argument("root")
-    one.add_argument("--epoch", type=int, default=0)
+    one.add_argument("--epoch", type=int, help="the number of an epoch to run again; the next free one if left out")
     one.add_argument("--lines", action="store_true", help="JSON lines instead of arrays")
     follow = jobs.add_parser("stream")
     for name in ("path", "root", "checkpoint"):
@@ -85,17 +106,21 @@ def main() -> None:
     ahead = jobs.add_parser("forecast")
     ahead.add_argument("root")
     ahead.add_argument("out")
-    ahead.add_argument("--sources", default="source-source-web,source-source-app,source-source-email")
-    ahead.add_argument("--languages", default="it,en")
+    ahead.add_argument("--sources", help="comma-separated; the most frequent ones of the history if left out")
+    ahead.add_argument("--languages", help="the same for languages")
     ahead.add_argument("--cut", type=float, default=0.5)
+    for job in (one, follow):
+        job.add_argument("--strict-errors", action="store_true", help="any stage error fails the document")
     a = parser.parse_args()
 
     spark = SparkSession.builder.appName(f"vocale-{a.job}").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.job == "enrich":
-        run_enrich(spark, a.path, a.root, a.epoch, not a.lines)
+        run_enrich(spark, a.path, a.root, a.epoch, not a.lines, a.strict_errors)
     elif a.job == "stream":
-        run_stream(spark, a.path, a.root, a.checkpoint, a.max_files)
-    elif not run_forecast(spark, a.root, a.out, a.sources.split(","), a.languages.split(","), a.cut):
+        run_stream(spark, a.path, a.root, a.checkpoint, a.max_files, strict_errors=a.strict_errors)
+    elif not run_forecast(
+        spark, a.root, a.out, a.sources and a.sources.split(","), a.languages and a.languages.split(","), a.cut
+    ):
         print("no spike in the history: no model, no alerts")
 
 

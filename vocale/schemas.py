@@ -1,4 +1,4 @@
-"""Declared schemas: messages, inference response, the five lineage tables."""
+"""Declared schemas: messages, inference response, the five lineage tables and rejected messages."""
 
 from __future__ import annotations
 
@@ -48,4 +48,7 @@ TABLES = {
         "id string, analysis_run_id string, sentiment_score float, sentiment_label string, "
         f"entities {ENTITIES_DDL}, summary string, processing_ms int, created_at timestamp"
     ),
+    "rejected_message": (
+        "doc_id string, source string, lang string, text string, reason string, received_at timestamp"
+    ),
 }
