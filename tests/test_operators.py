@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -214,6 +215,15 @@ def test_hours_of_an_unknown_language_are_counted(spark):
     assert got == {(None, 1): 5, (None, 2): 0, (None, 3): 2, ("it", 2): 1, ("it", 3): 0}
 
 
+def test_offsets_of_many_matches(spark):
+    text = "di Mario Rossi e " * 10_000
+    start = time.perf_counter()
+    found = raw_entities(spark.createDataFrame([(text,), ("Mario e Rossi",), ("",)], "norm string")).collect()
+    assert time.perf_counter() - start < 60
+    assert [(e["start"], e["end"]) for e in found[0]["raw_entities"]] == [(17 * i + 3, 17 * i + 14) for i in range(10_000)]
+    assert [e["start"] for e in found[1]["raw_entities"]] == [0, 8] and found[2]["raw_entities"] == []
+
+
 def test_long_addresses_are_whole(spark):
     local = "a" * 80 + ".b"
     docs = spark.createDataFrame([(f"scrivi a {local}@example.com o {'x' * 50000}",)], "norm string")

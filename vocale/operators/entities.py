@@ -48,6 +48,22 @@ def _score(match: Column, label: Column) -> Column:
     return strong.cast("float")
 
 
+def running_starts(steps: Column, first: Column, block: int = 64) -> Column:
+    """first, first + steps[1], first + steps[1] + steps[2], ...: one value per step.
+
+    Appending copies an array, so sums run inside blocks of ``block`` steps and over the blocks'
+    totals; the time is about linear in the number of steps.
+    """
+    def sums(values: Column, start: Column) -> Column:
+        return F.aggregate(values, F.array(start), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+
+    last = F.floor((F.size(steps) - 1) / block).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(steps, b * block + 1, F.lit(block)))
+    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, n: acc + n))
+    starts = F.zip_with(blocks, F.slice(sums(totals, first), F.lit(1), last + 1), lambda b, s: F.slice(sums(b, s), F.lit(1), F.size(b)))
+    return F.when(F.size(steps) == 0, F.array().cast("array<int>")).otherwise(F.flatten(starts))
+
+
 def raw_entities(df: DataFrame, text: str = "norm", offsets: bool = True) -> DataFrame:
     """Add raw_entities, every match in order of appearance.
 
@@ -68,11 +84,8 @@ def raw_entities(df: DataFrame, text: str = "norm", offsets: bool = True) -> Dat
         steps = F.zip_with(
             F.col("_match"), F.slice(gaps, 2, F.size("_match")), lambda m, gap: F.length(m) + gap
         )
-        found = found.withColumn(
-            "_start",
-            F.aggregate(
-                steps, F.slice(gaps, 1, 1), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n)
-            ),
+        found = found.withColumns({"_steps": steps, "_first": F.element_at(gaps, 1)}).withColumn(
+            "_start", running_starts(F.col("_steps"), F.col("_first"))
         )
         pairs = F.arrays_zip(F.col("_match").alias("m"), F.slice("_start", 1, F.size("_match")).alias("s"))
     else:

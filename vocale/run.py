@@ -2,6 +2,7 @@
 
 enrich    read messages once and store one epoch
 stream    follow a folder of message files and store an epoch per micro-batch
+compact   fold the marked epochs up to one into a base copy of each table
 forecast  read the stored history and write the alert table of the hours in it
 """
 
@@ -103,6 +104,9 @@ def main() -> None:
     for name in ("path", "root", "checkpoint"):
         follow.add_argument(name)
     follow.add_argument("--max-files", type=int)
+    fold = jobs.add_parser("compact")
+    fold.add_argument("root")
+    fold.add_argument("upto", type=int)
     ahead = jobs.add_parser("forecast")
     ahead.add_argument("root")
     ahead.add_argument("out")
@@ -116,6 +120,8 @@ def main() -> None:
     spark = SparkSession.builder.appName(f"vocale-{a.job}").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.job == "enrich":
         run_enrich(spark, a.path, a.root, a.epoch, not a.lines, a.strict_errors)
+    elif a.job == "compact":
+        epochs.compact(spark, a.root, a.upto)
     elif a.job == "stream":
         run_stream(spark, a.path, a.root, a.checkpoint, a.max_files, strict_errors=a.strict_errors)
     elif not run_forecast(
