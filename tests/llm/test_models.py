@@ -71,7 +71,7 @@ def test_interactions_are_learned():
     rng = np.random.default_rng(0)
     rows = [np.flatnonzero(rng.random(6) < 0.5) for _ in range(3000)]
     y = np.array([float(0 in r and 1 in r) for r in rows])
-    model = toxicity.train(rows, y, np.arange(6), epochs=40, rate=0.3)
+    model = toxicity.train(rows, y, np.arange(6), epochs=40, rate=0.3, factor_rate=0.1, positive=1.0)
     flat, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     right = (toxicity.logistic(model.raw(flat, row, len(rows))[0]) > 0.5) == y
     assert right.mean() > 0.97

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from vocale.llm.common import fit_in_task, labelled_sample, map_texts, saved
 
-BITS = 18
+BITS = 22
 #: Terms of a word: itself and its beginnings of these lengths, which stand for its stem.
 STEMS = (4, 5, 6)
 WORDS = re.compile(r"[^\W\d_]+").findall
@@ -91,10 +91,12 @@ def logistic(x: np.ndarray) -> np.ndarray:
 
 
 def train(
-    rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, factors: int = 6, epochs: int = 12,
-    rate: float = 0.08, decay: float = 1e-4, batch: int = 256, seed: int = 7,
+    rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, factors: int = 6, epochs: int = 30,
+    rate: float = 0.2, factor_rate: float = 0.02, decay: float = 1e-4, batch: int = 256, seed: int = 7,
+    positive: float = 2.0,
 ) -> Machine:
-    """Logistic loss, AdaGrad steps over shuffled batches. ``rows`` hold numbers into ``terms``."""
+    """Logistic loss, AdaGrad steps over shuffled batches. ``rows`` hold numbers into ``terms``. A row
+    with the label counts ``positive`` times: such rows are few, and one term may have to do."""
     rng = np.random.default_rng(seed)
     base = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
     model = Machine(terms, float(np.log(base / (1 - base))), np.zeros(len(terms)),
@@ -107,7 +109,7 @@ def train(
             flat = np.concatenate([rows[i] for i in some])
             row = np.repeat(np.arange(len(some)), [len(rows[i]) for i in some])
             raw, sums = model.raw(flat, row, len(some))
-            error = (logistic(raw) - labels[some]) / len(some)
+            error = (logistic(raw) - labels[some]) * np.where(labels[some] > 0, positive, 1.0) / len(some)
             step = error.sum()
             seen_b += step * step
             model.bias -= rate * step / np.sqrt(seen_b)
@@ -121,7 +123,7 @@ def train(
             seen_w[used] += gw * gw
             seen_v[used] += gv * gv
             model.weights[used] -= rate * gw / np.sqrt(seen_w[used])
-            model.factors[used] -= 0.3 * rate * gv / np.sqrt(seen_v[used])
+            model.factors[used] -= factor_rate * gv / np.sqrt(seen_v[used])
     return model
 
 
@@ -140,7 +142,7 @@ def fit_toxicity(
 
     ``max_rows`` bounds the sample of labelled rows. Their hashed terms are saved; Spark counts
     each term with and without the label, and the ``max_terms`` that differ most from chance
-    (at least 3 standard deviations, in ``min_docs`` documents) stay. The machine is fitted in
+    (at least 4 standard deviations, in ``min_docs`` documents) stay. The machine is fitted in
     one task on the bounded sample and is a few hundred KB. Without rows of both labels it scores
     the base rate (0 without any row).
     """
@@ -156,7 +158,7 @@ def fit_toxicity(
     counts = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("k"))
     spread = F.abs(F.col("k") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base))
-    chosen = counts.filter(F.col("n") >= min_docs).withColumn("z", spread).filter("z >= 3")
+    chosen = counts.filter(F.col("n") >= min_docs).withColumn("z", spread).filter("z >= 4")
     picked = chosen.orderBy(F.desc("z"), "term").limit(max_terms).select("term").collect()
     terms = np.array(sorted(r["term"] for r in picked), dtype=np.int32)
     if not len(terms):
