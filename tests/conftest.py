@@ -1,3 +1,4 @@
+import os
 import pathlib
 import sys
 
@@ -8,9 +9,11 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from vocale.session import build_session
 
-    session = build_session("vocale-tests", 8, "6g", partitions=2)
+    # Python workers must find the package wherever the tests are started.
+    os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), *filter(None, [os.environ.get("PYTHONPATH")])])
+    session = build_session("vocale-tests", 8, "6g", partitions=2, shared=str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()

@@ -8,12 +8,14 @@ from pyspark.sql import SparkSession
 
 
 def build_session(
-    app: str, cpus: int | None = None, memory: str = "8g", partitions: int | None = None
+    app: str, cpus: int | None = None, memory: str = "8g", partitions: int | None = None, shared: str | None = None
 ) -> SparkSession:
-    """A local session for tests and the bench; on a cluster the submitter's settings apply."""
+    """A local session for tests and the bench; on a cluster the submitter's settings apply. ``shared``
+    is the folder for written intermediate tables."""
     master = f"local[{cpus}]" if cpus else "local[*]"
+    builder = SparkSession.builder.config("spark.checkpoint.dir", shared) if shared else SparkSession.builder
     spark = (
-        SparkSession.builder.master(master)
+        builder.master(master)
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
