@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocale.llm.common import saved
+from vocale.llm.common import broadcast_if, saved
 from vocale.session import shared_dir
 
 BLANKS = " \t\n\x0b\f\r"
@@ -127,7 +127,7 @@ def cuts(docs: DataFrame, doc_id: str, batches: int) -> list[int]:
 
 def dedup_lines(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None,
-    min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2,
+    min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2, keys_limit: int = 1_000_000,
 ) -> DataFrame:
     """(doc_id, *keep, text, n_lines, n_dropped): every text without its crowded lines.
 
@@ -135,7 +135,8 @@ def dedup_lines(
     ``min_docs`` documents loses all its lines except in the largest id that holds it. Lines are
     hashed once and saved; the documents go into ``LineRuns`` in batches of falling ids; lines of
     crowded keys are looked up, and only the positions to drop meet the texts. A frequent line is
-    counted by document first and then by key, so it is no task of its own.
+    counted by document first and then by key, so it is no task of its own. Crowded keys are
+    broadcast if there are ``keys_limit`` at most, and joined by shuffle beyond.
 
     A null or empty text is one empty line. Rows that share an id count as one document and are
     each cleaned; rows without an id count as none and lose crowded lines. A text that loses all
@@ -162,7 +163,7 @@ def dedup_lines(
         drops = spark.createDataFrame([], f"doc_id {kind}, mark long, drop array<int>")
     else:
         drops = (
-            lines.join(crowded, KEY).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+            lines.join(broadcast_if(saved(crowded, "crowded"), keys_limit), KEY).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
             .groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("drop"))
         )
     both = rows.join(drops, rows["__id"].eqNullSafe(drops["doc_id"]) & (rows["__mark"] == drops["mark"]), "left")
