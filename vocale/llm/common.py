@@ -154,8 +154,8 @@ def connected_components(edges: DataFrame, name: str = "links", rounds: int = 60
     Large-star and small-star rounds: each node hands its neighbours over to the smallest of
     them, until nothing changes; the number of rounds grows with the logarithm of the longest
     chain. A round is a minimum per node (combined before the shuffle, so a hub is one row per
-    task) and a join, whose skewed partitions Spark may split. The edges of a round are written
-    to the shared folder; only their count and hash reach the driver.
+    task) and a join, whose skewed partitions Spark splits, as the minima are saved first. The
+    edges of a round are written to the shared folder; only their count and hash reach the driver.
     """
     edges = saved(
         edges.filter(F.col("u") != F.col("v"))
@@ -168,7 +168,7 @@ def connected_components(edges: DataFrame, name: str = "links", rounds: int = 60
             break
         # Large star: neighbours above a node go to the smallest node around it.
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
         large = edges.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u")
         large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: neighbours below a node, and the node, go to the smallest of them.

@@ -357,7 +357,7 @@ def full_sets(docs: DataFrame, members: DataFrame, rows_limit: int) -> DataFrame
 
 def similar_documents(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", low_share: float = 0.35,
-    frequent_share: float = 0.002, cap: int = 65_536, weight: int = 2_000_000, rows_limit: int = 4_000_000,
+    frequent_share: float = 0.002, cap: int = 65_536, weight: int = 2_000_000, rows_limit: int = 1_000_000,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id): the class of every document under links of similarity
     0.75 or more, and the size of its set of 5-word shingles.
@@ -398,7 +398,8 @@ def similar_documents(
     classes = connected_components(links.union(same_id), "links")
     named = sets.select("doc_id", "n", "sid").join(classes.withColumnRenamed("node", "sid"), "sid", "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "sid")).alias("class"))
-    tops = named.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    # Saved, so that a class with very many documents is joined from plain rows, which Spark splits.
+    tops = saved(named.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("component_id")), "tops")
     return named.join(tops, "class", "left").select(
         F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
