@@ -42,10 +42,10 @@ def test_likeness_follows_overlap():
     assert likeness(s[:1], s[3:4])[0] < 0.1
 
 
-def check(spark, rows, bands):
+def check(spark, rows, bands, band_rows=4096):
     got = sorted(tuple(r) for r in [
         (-1 if r["doc_id"] is None else r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"],
-         r["near_edited"], r["near_next"]) for r in compare_edited(frame(spark, rows), bands=bands).collect()])
+         r["near_edited"], r["near_next"]) for r in compare_edited(frame(spark, rows), bands=bands, band_rows=band_rows).collect()])
     want = []
     for i, t, after in next_in_order(rows):
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
@@ -58,7 +58,9 @@ def check(spark, rows, bands):
 def test_edited_texts(spark):
     check(spark, EDGE, 4)
     check(spark, [(k * 7, t, "en", "s") for k, t in enumerate(texts_of(60))], 8)
+    check(spark, [(k * k - 50, t, "en", "s") for k, t in enumerate(texts_of(60))], 3, 4)
     check(spark, [(3, "only one", "en", "s")], 4)
+    check(spark, [(3, "only one", "en", "s")] * 3, 1)
 
 
 def test_edges(spark):

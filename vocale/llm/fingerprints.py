@@ -182,17 +182,28 @@ def fingerprints(docs: DataFrame, keys: list[str] | None = None, text: str = "te
                      lambda: lambda texts: {"fingerprint": written(sketches([t or "" for t in texts]))}, schema, text)
 
 
-def in_bands(docs: DataFrame, doc_id: str, text: str, bands: int) -> DataFrame:
-    """(doc_id, text, band, head): the rows dealt over bands of falling ids. The first row of a band
-    is also the next one of the last row of the band before; that band gets it again, as ``head``."""
+def in_bands(docs: DataFrame, doc_id: str, text: str, bands: int, band_rows: int) -> tuple[DataFrame, int]:
+    """(doc_id, text, band, head) and the number of bands: the rows dealt over bands of falling ids.
+
+    ``bands`` ranges with about as many rows each, cut evenly by id into pieces of about
+    ``band_rows`` rows (1024 pieces at most). The first row of a band is also the next one of the
+    last row of the band before; that band gets it again, as ``head``.
+    """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     shares = [i / bands for i in range(1, bands)]
-    bounds = rows.agg(F.percentile_approx("doc_id", shares, 10_000)).first()[0] if shares else None
-    bounds = sorted(set(bounds or []))
+    found = rows.agg(F.percentile_approx("doc_id", shares or [0.5], 10_000), F.min("doc_id"), F.max("doc_id"),
+                     F.count(F.lit(1))).first()
+    least, most = found[1] or 0, found[2] or 0
+    bounds = sorted(set(found[0] or []) - {least}) if shares else []
+    pieces = min(1024, max(1, -(-found[3] // (band_rows * (len(bounds) + 1)))))
+    ends = F.array(*[F.lit(float(b)) for b in (least, *bounds, most + 1)])
+    at = F.size(F.filter(F.array(*[F.lit(b) for b in (least, *bounds)]), lambda b: b <= F.col("doc_id")))
+    low, high = F.get(ends, at - 1), F.get(ends, at)
+    piece = F.least(F.floor((F.col("doc_id") - low) / (high - low) * pieces), F.lit(pieces - 1))
     # 0 has the largest ids; rows without an id come last.
-    place = F.lit(len(bounds)) - F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("doc_id"))) \
-        if bounds else F.lit(0)
-    rows = rows.withColumn("band", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(place))
+    whole = (len(bounds) + 1) * pieces
+    place = F.when(F.col("doc_id").isNull(), F.lit(whole)).otherwise(whole - 1 - ((at - 1) * pieces + piece)).cast("int")
+    rows = rows.withColumn("band", place)
     tops = rows.groupBy("band").agg(F.max("doc_id").alias("top"))  # as many rows as bands
     order = Window.orderBy("band")
     to = F.coalesce(F.lag("band").over(order), F.max("band").over(Window.partitionBy()))
@@ -200,7 +211,8 @@ def in_bands(docs: DataFrame, doc_id: str, text: str, bands: int) -> DataFrame:
     joined = rows.join(F.broadcast(heads), (rows["band"] == heads["__band"]) & rows["doc_id"].eqNullSafe(heads["__top"]), "left")
     copies = F.when(F.col("to").isNull(), F.array(F.struct("band", F.lit(False).alias("head")))).otherwise(
         F.array(F.struct("band", F.lit(False).alias("head")), F.struct(F.col("to").alias("band"), F.lit(True).alias("head"))))
-    return joined.select("doc_id", "text", F.explode(copies).alias("c")).select("doc_id", "text", "c.band", "c.head")
+    dealt = joined.select("doc_id", "text", F.explode(copies).alias("c")).select("doc_id", "text", "c.band", "c.head")
+    return dealt, whole
 
 
 RESULT = T.StructType([
@@ -211,19 +223,20 @@ RESULT = T.StructType([
 ])
 
 
-def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: int = 64) -> DataFrame:
+def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: int = 64, band_rows: int = 4096) -> DataFrame:
     """Fingerprints of every text, of the text with its second half replaced, and of the next one.
 
     In order of falling ids (equal ids by text; rows without an id last, by text), the last
     floor(n_chars / 2) code points of a text are replaced by the first as many of the next text,
-    or all of it; the last text is followed by the first. Rows are dealt over ``bands`` ranges of
-    ids and sorted in them, so each text is shuffled once and a task reads rows in order, holding
-    one batch and one text. Only the first text of a band goes to two bands.
+    or all of it; the last text is followed by the first. Rows are dealt over ranges of ids, as
+    many as the table needs, and sorted in them, so each text is shuffled once and a task reads
+    rows in order, holding one batch and one text. Only the first text of a band goes to two.
 
     A null text is an empty one. A single row is its own next one. An empty table gives an empty
     one. Other columns are ignored.
     """
-    dealt = in_bands(docs, doc_id, text, bands).repartition(bands, "band").sortWithinPartitions(
+    rows, number = in_bands(docs, doc_id, text, bands, band_rows)
+    dealt = rows.repartition(number, "band").sortWithinPartitions(
         F.col("band"), F.col("head"), F.col("doc_id").desc_nulls_last(), F.col("text"))
     arrow_out = pa.schema([(f.name, arrow_type(f.dataType)) for f in RESULT.fields])
 
