@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vocale.llm.common import saved, table
 from vocale.llm.jaccard_join import similar_documents
 from vocale.llm.line_runs import dedup_lines
-from vocale.llm.packing import pack
+from vocale.llm.packing import pack_tokens
 from vocale.llm.quality import fit_quality, score_quality
 from vocale.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -41,8 +41,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document in its place in a batch."""
-    return pack(docs)
+    """Every piece of every document in its place in a batch, by the tokens of a vocabulary."""
+    return pack_tokens(docs)
 
 
 STAGES = [

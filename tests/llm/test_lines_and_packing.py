@@ -7,7 +7,9 @@ from helpers import EDGE, LONG_LINE, WORD, edge, empty, frame
 from pyspark.sql import functions as F
 
 from vocale.llm.line_runs import LineRuns, dedup_lines, line_hashes
-from vocale.llm.packing import best_buckets, pack
+from vocale.llm.packing import best_buckets, pack, pack_tokens
+from vocale.llm.queries import QUERIES
+from vocale.llm.token_counts import token_counts
 
 BLANK = " \t\n\x0b\f\r"
 
@@ -114,3 +116,36 @@ def test_packing_over_shards(spark):
     assert all(r["last"] == r["n"] - 1 for r in rows)
     room = {b: 2048 // b for b in {r["bucket"] for r in rows}}
     assert sum(r["n"] < room[r["bucket"]] for r in rows) <= 3
+
+
+def pieces(n, size):
+    return [(a, min(size, n - a)) for a in range(0, max(n, 1), size)]
+
+
+def check_pieces(counts, rows, size):
+    """``counts``: (doc_id, n_tokens) of each row. All tokens are in one piece, in whole pieces."""
+    want = [(i, k, a, n) for i, total in counts for k, (a, n) in enumerate(pieces(total, size))]
+    assert sorted(((r["doc_id"], r["piece"], r["first_token"], r["n_tokens"]) for r in rows), key=repr) == sorted(want, key=repr)
+
+
+def test_packing_counts_tokens(spark):
+    """A text without spaces is cut too, and no batch holds more tokens than the budget."""
+    docs = frame(spark, EDGE + [(11, "QUJD" * 500 + "日本語" * 300, "ja", "c")])
+    counts = [(r["doc_id"], r["n_tokens"]) for r in token_counts(docs).collect()]
+    rows = pack_tokens(docs, max_tokens=64, buckets=4, budget=256).collect()
+    check_pieces(counts, rows, 64)
+    assert len([r for r in rows if r["doc_id"] == 11]) > 10
+    held = {}
+    for r in rows:
+        assert r["padding"] == r["bucket"] - r["n_tokens"] >= 0
+        held[r["bucket"], r["batch"]] = held.get((r["bucket"], r["batch"]), 0) + r["bucket"]
+    assert max(held.values()) <= 256
+    assert pack_tokens(empty(spark)).count() == 0
+    renamed = docs.drop("n").withColumnsRenamed({"doc_id": "n", "text": "mark"})
+    assert pack_tokens(renamed, "n", "mark", max_tokens=64).columns[0] == "n"
+
+
+def test_query_packs_tokens(spark):
+    data = "/root/testdata/sf0.001"
+    counts = [(r["doc_id"], r["n_tokens"]) for r in token_counts(spark.read.parquet(f"{data}/documents.parquet")).collect()]
+    check_pieces(counts, QUERIES["op4_packing"](spark, data).collect(), 2048)

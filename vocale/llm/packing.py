@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vocale.llm.common import saved
+from vocale.llm.common import map_texts, saved
+from vocale.llm.token_counts import SCHEMA, VOCABULARY, counter
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -54,8 +56,10 @@ def pack(
 ) -> DataFrame:
     """Training batches: (doc_id, piece, first_token, n_tokens, bucket, batch, slot, padding).
 
-    A document of more than ``max_tokens`` tokens (words, or the column ``tokens``) is cut into
-    pieces of ``max_tokens`` and a rest, so every token is in one piece and the histogram of
+    A token is what the column ``tokens`` counts; without it a white-space word, which no model
+    reads (``pack_tokens`` counts those of a vocabulary).
+
+    A document of more than ``max_tokens`` tokens is cut into pieces of ``max_tokens`` and a rest, so every token is in one piece and the histogram of
     piece lengths has ``max_tokens`` entries at most; it alone reaches the driver, where
     ``best_buckets`` chooses ``buckets`` lengths. A piece is padded to its bucket's length, and a
     batch takes floor(budget / length) pieces of one bucket; only a bucket's last batch is not full.
@@ -100,3 +104,25 @@ def pack(
         F.floor(place / per_batch).alias("batch"), (place % per_batch).alias("slot"),
         (F.col("bucket") - F.col("n_tokens")).alias("padding"),
     )
+
+
+def token_numbers(vocabulary: str):
+    count = counter(vocabulary, 0)
+    return lambda texts: {"n_tokens": count(texts)["n_tokens"]}
+
+
+def pack_tokens(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, **limits: int,
+) -> DataFrame:
+    """``pack`` by the tokens of ``vocabulary``, the ones ``token_counts`` gives; ``limits`` are
+    ``max_tokens``, ``buckets`` and ``budget``.
+
+    Tokens are counted beside each text where it is read, without a join; what is packed has the
+    id, a hash in place of the text, and the count. Null and empty texts, ids and other columns
+    are treated as in ``pack``.
+    """
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    numbers = T.StructType([f for f in SCHEMA.fields if f.name == "n_tokens"])
+    counted = map_texts(texts, ["doc_id", "mark"], lambda: token_numbers(vocabulary), numbers)
+    packed = pack(counted, text="mark", tokens=F.col("n_tokens"), **limits)
+    return packed.withColumnRenamed("doc_id", doc_id)

@@ -12,7 +12,7 @@ from vocale.llm.grid_join import near_duplicates
 from vocale.llm.jaccard_join import similar_documents
 from vocale.llm.languages import fit_languages, predict_languages
 from vocale.llm.line_runs import dedup_lines
-from vocale.llm.packing import pack
+from vocale.llm.packing import pack_tokens
 from vocale.llm.quality import fit_quality, score_quality
 from vocale.llm.sentence_pieces import encode_pieces
 from vocale.llm.token_counts import token_counts
@@ -38,7 +38,7 @@ def op3_languages(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, root: str) -> DataFrame:
-    return pack(table(spark, root, "documents"))
+    return pack_tokens(table(spark, root, "documents"))
 
 
 def op5_sentence_pieces(spark: SparkSession, root: str) -> DataFrame:
