@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vocale.llm.common import map_texts, saved
-from vocale.llm.token_counts import SCHEMA, VOCABULARY, counter
+from vocale.llm.common import map_texts, saved, vocabulary_path
+from vocale.llm.token_counts import SCHEMA, VOCABULARY, WordCounts, counter, load
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -106,8 +106,9 @@ def pack(
     )
 
 
-def token_numbers(vocabulary: str):
-    count = counter(vocabulary, 0)
+def token_numbers(vocabulary: str, cache: int = 150_000):
+    """The counts of known words go with the task: Python workers live on for other operators."""
+    count = counter(vocabulary, 0, WordCounts(load(vocabulary_path(vocabulary))[0], cache))
     return lambda texts: {"n_tokens": count(texts)["n_tokens"]}
 
 

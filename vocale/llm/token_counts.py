@@ -102,12 +102,13 @@ def counted_words(vocabulary: str, cache: int = 300_000) -> WordCounts:
     return WordCounts(load(vocabulary_path(vocabulary))[0], cache)
 
 
-def counter(vocabulary: str, limit: int):
-    """A function from texts to the columns of ``SCHEMA``."""
+def counter(vocabulary: str, limit: int, counts: WordCounts | None = None):
+    """A function from texts to the columns of ``SCHEMA``. ``counts``: a cache of the caller's own
+    in place of the worker's."""
     special = load(vocabulary_path(vocabulary))[1]
     words = regex.compile(PATTERN).findall
     specials = regex.compile("|".join(map(regex.escape, special))) if special else None
-    counts = counted_words(vocabulary)
+    counts = counted_words(vocabulary) if counts is None else counts
 
     def count(text: str) -> int:
         pieces = specials.split(text) if specials and specials.search(text) else [text]
