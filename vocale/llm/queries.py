@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vocale.llm.byte_pairs import encode_bytes
 from vocale.llm.common import held_out, table
 from vocale.llm.fingerprints import compare_edited
 from vocale.llm.grid_join import near_duplicates
@@ -69,6 +70,14 @@ def op10_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
     return similar_documents(table(spark, root, "documents"))
 
 
+def op13_byte_pairs(spark: SparkSession, root: str) -> DataFrame:
+    coded = encode_bytes(table(spark, root, "documents"), decoded=True)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, root: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,7 +86,7 @@ def pipeline(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_fingerprints, op2_toxicity, op3_languages, op4_packing, op5_sentence_pieces, op6_line_dedup,
-    op7_token_counts, op8_embedding_duplicates, op9_quality, op10_jaccard_join, pipeline,
+    op7_token_counts, op8_embedding_duplicates, op9_quality, op10_jaccard_join, op13_byte_pairs, pipeline,
 )}
 
 BLANKS = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
