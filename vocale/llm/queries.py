@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vocale.llm.byte_pairs import encode_bytes
 from vocale.llm.common import held_out, table
+from vocale.llm.filter_audit import audit
 from vocale.llm.fingerprints import compare_edited
 from vocale.llm.grid_join import near_duplicates
 from vocale.llm.jaccard_join import similar_documents
@@ -70,6 +71,10 @@ def op10_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
     return similar_documents(table(spark, root, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, root: str) -> DataFrame:
+    return audit(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
 def op13_byte_pairs(spark: SparkSession, root: str) -> DataFrame:
     coded = encode_bytes(table(spark, root, "documents"), decoded=True)
     return coded.select(
@@ -86,7 +91,7 @@ def pipeline(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_fingerprints, op2_toxicity, op3_languages, op4_packing, op5_sentence_pieces, op6_line_dedup,
-    op7_token_counts, op8_embedding_duplicates, op9_quality, op10_jaccard_join, op13_byte_pairs, pipeline,
+    op7_token_counts, op8_embedding_duplicates, op9_quality, op10_jaccard_join, op12_filter_audit, op13_byte_pairs, pipeline,
 )}
 
 BLANKS = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -149,4 +154,44 @@ ORACLES = {
         SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(top, doc_id)) AS component_id
         FROM sets LEFT JOIN (SELECT u, min(w) AS top FROM reach GROUP BY u) c ON c.u = doc_id
     """,
+    "op12_filter_audit": """
+        WITH texts AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), marked AS (
+            SELECT part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w),
+                    100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'),
+                    coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails,
+                coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), false) AS good,
+                coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1), false) AS bad
+            FROM texts
+        ), counts AS (
+            SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad
+            FROM marked GROUP BY part, fails
+        ), f AS (SELECT unnest(range(1, 6)) AS i),
+        orders AS (
+            SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM f a, f b, f c, f d, f e
+            WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+        ), steps AS (
+            SELECT o, s.i AS step, o[s.i] AS filter, o[1 : s.i - 1] AS before FROM orders, f s
+        ), looked AS (
+            SELECT *, fails[filter] AS hit, len(list_filter(before, lambda x: fails[x])) > 0 AS gone,
+                len(list_filter(fails, lambda x: x)) AS k
+            FROM counts, steps
+        ), summed AS (
+            SELECT part, o, step, filter,
+                coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0) AS kept,
+                coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS removed,
+                coalesce(sum(n) FILTER (hit AND gone), 0) AS redundant,
+                coalesce(sum(n) FILTER (hit AND k = 1), 0) AS unique_fails,
+                coalesce(sum(good) FILTER (hit AND NOT gone), 0) AS good_lost,
+                coalesce(sum(bad) FILTER (hit AND NOT gone), 0) AS toxic_lost
+            FROM looked GROUP BY part, o, step, filter
+        )
+        SELECT part, array_to_string(list_transform(o, lambda x: chr(64 + x::INT)), '') AS filter_order,
+            step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+            unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+            (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley
+        FROM summed
+    """,
 }
