@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocale.llm.byte_pairs import encode_bytes
-from vocale.llm.common import held_out, table
+from vocale.llm.common import held_out, remainder, table
 from vocale.llm.filter_audit import audit
 from vocale.llm.fingerprints import compare_edited
 from vocale.llm.grid_join import near_duplicates
 from vocale.llm.jaccard_join import similar_documents
 from vocale.llm.languages import fit_languages, predict_languages
 from vocale.llm.line_runs import dedup_lines
+from vocale.llm.merkle import Manifest
 from vocale.llm.packing import pack_tokens
 from vocale.llm.quality import fit_quality, score_quality
 from vocale.llm.sentence_pieces import encode_pieces
@@ -71,6 +72,13 @@ def op10_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
     return similar_documents(table(spark, root, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, root: str) -> DataFrame:
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tree = Manifest(table(spark, root, "documents"), offered={"text": lowered}, changed=remainder(F.col("doc_id"), 5) == 0)
+    return tree.proofs().select(
+        "doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 def op12_filter_audit(spark: SparkSession, root: str) -> DataFrame:
     return audit(table(spark, root, "documents"), table(spark, root, "labels"))
 
@@ -91,13 +99,69 @@ def pipeline(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_fingerprints, op2_toxicity, op3_languages, op4_packing, op5_sentence_pieces, op6_line_dedup,
-    op7_token_counts, op8_embedding_duplicates, op9_quality, op10_jaccard_join, op12_filter_audit, op13_byte_pairs, pipeline,
+    op7_token_counts, op8_embedding_duplicates, op9_quality, op10_jaccard_join, op11_merkle_manifest, op12_filter_audit, op13_byte_pairs, pipeline,
 )}
 
 BLANKS = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+
+
+def merkle_sql(levels: int = 6, top_levels: int = 3) -> str:
+    """The tree level by level, each row's value folded along: one table of nodes and one of rows
+    a level, for up to 16 ** levels rows a source and 16 ** top_levels sources."""
+    def value(x):
+        return f"coalesce(strlen({x}::VARCHAR)::VARCHAR || ':' || {x}::VARCHAR, '-')"
+
+    rows = ", ".join(f"{value(c)} AS {c}_" for c in ("doc_id", "source", "lang", "n_chars", "text"))
+    text = f"CASE WHEN crc_5 THEN translate(text, {UPPER}) ELSE text END"
+    head = "doc_id_ || source_ || lang_ || n_chars_ || "
+    steps = []
+    for k in range(levels + top_levels):
+        if k == levels:  # the subroots become the leaves of one group
+            steps.append(f"n{k} AS (SELECT 0 AS g, row_number() OVER (ORDER BY name NULLS FIRST) - 1 AS i, d, name FROM m{k})")
+            steps.append(f"""f{k} AS (SELECT e.* EXCLUDE (g, i, sub), n.g, n.i, n.d AS sub
+                FROM e{k} e JOIN n{k} n ON n.name IS NOT DISTINCT FROM e.name)""")
+        steps.append(f"c{k} AS (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM n{k})")
+        steps.append(f"""{'m' if k == levels - 1 else 'n'}{k + 1} AS (
+            SELECT g, any_value(name) AS name, i // 16 AS i,
+                CASE WHEN any_value(c) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d
+            FROM c{k} GROUP BY g, i // 16)""")
+        steps.append(f"""{'e' if k == levels - 1 else 'f'}{k + 1} AS (
+            SELECT f.r, any_value(f.doc_id) AS doc_id, any_value(f.leaf) AS leaf, any_value(f.name) AS name,
+                any_value(f.sub) AS sub, f.g, any_value(f.i) // 16 AS i,
+                CASE WHEN any_value(c) = 1 THEN any_value(f.folded)
+                    ELSE sha256(string_agg(CASE WHEN n.i = f.i THEN f.folded ELSE n.d END, '' ORDER BY n.i)) END AS folded,
+                any_value(f.proof) || coalesce(string_agg(n.d, '' ORDER BY n.i) FILTER (n.i <> f.i), '') AS proof
+            FROM f{k} f JOIN c{k} n ON n.g = f.g AND n.i // 16 = f.i // 16 GROUP BY f.r, f.g)""")
+    last = levels + top_levels
+    return f"""
+        WITH crcs AS (
+            SELECT t.i, list_reduce([t.i] || range(8), lambda c, x: xor(c // 2, CASE c % 2 WHEN 1 THEN 3988292384 ELSE 0 END)) AS v
+            FROM range(256) t(i)
+        ), crc AS (SELECT list(v ORDER BY i) AS v FROM crcs),
+        docs AS (
+            SELECT row_number() OVER () AS r, doc_id, source AS name, text, {rows}, coalesce(xor(4294967295, list_reduce(
+                [4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+                lambda c, x: xor(c // 256, v[1 + xor(c % 256, x)]))) % 5 = 0, false) AS crc_5
+            FROM documents, crc
+        ), leaves AS (
+            SELECT r, doc_id, name, sha256({head} text_) AS d, sha256({head} {value(text)}) AS folded FROM docs
+        ), groups AS (SELECT name, row_number() OVER (ORDER BY name NULLS FIRST) AS g FROM (SELECT DISTINCT name FROM docs)),
+        ordered AS (
+            SELECT l.*, g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, d) - 1 AS i
+            FROM leaves l JOIN groups ON l.name IS NOT DISTINCT FROM groups.name
+        ), n0 AS (SELECT g, name, i, d FROM ordered),
+        f0 AS (SELECT r, doc_id, d AS leaf, name, NULL::VARCHAR AS sub, g, i, folded, '' AS proof FROM ordered),
+        {", ".join(steps)}
+        SELECT doc_id, leaf, sub AS subroot, n.d AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
+            folded = n.d AS verified
+        FROM f{last}, n{last} n
+    """
+
+
 ORACLES = {
+    "op11_merkle_manifest": merkle_sql(),
     "op6_line_dedup": f"""
         WITH split AS (
             SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
