@@ -153,8 +153,8 @@ def with_paths(nodes: DataFrame, paths: DataFrame, extra: list[str]) -> DataFram
 
 def climbing(rows: list[tuple]) -> Iterator[tuple[tuple, list[tuple[Parent, int]]]]:
     """Each node of a block with the parents and places on its way up through the block."""
-    nodes = rows[1:]
-    made = parents_of([r[4].encode() for r in nodes], levels_of(nodes[0][3]))
+    nodes = rows[1:]  # none in an empty table
+    made = parents_of([r[4].encode() for r in nodes], levels_of(nodes[0][3] if nodes else 0))
     for at, row in enumerate(nodes):
         yield row, [(parents[at // FANOUT ** (k + 1)], at // FANOUT**k % FANOUT) for k, parents in enumerate(made)]
 
