@@ -8,10 +8,10 @@ import tiktoken
 from helpers import EDGE, edge, empty, sorted_rows
 from pyspark.sql import functions as F
 
-from vocale.llm.byte_pairs import RANKS, BytePairs, byte_pairs, counter, decode_bytes, encode_bytes, read_ranks, serialise
+from vocale.llm.byte_pairs import RANKS, BytePairs, byte_pairs, counter, decode_bytes, encode_bytes, read_ranks, serialise, special_strings
 from vocale.llm.common import vocabulary_path
 from vocale.llm.queries import QUERIES
-from vocale.llm.token_counts import PATTERN, VOCABULARY, load
+from vocale.llm.token_counts import PATTERN, VOCABULARY
 from vocale.llm.token_counts import counter as heap_counter
 
 TEXTS = [t for _, t, *_ in EDGE] + [
@@ -84,5 +84,6 @@ def test_edges(spark, library):
 
 
 def test_counts_are_those_of_the_heap():
+    assert special_strings(VOCABULARY) == ["<|endoftext|>"] and special_strings(RANKS) == []
     heap = heap_counter(VOCABULARY, 512)(TEXTS)["n_tokens"]
-    assert counter(VOCABULARY, load(vocabulary_path(VOCABULARY))[1])(TEXTS) == heap
+    assert counter(VOCABULARY, special_strings(VOCABULARY))(TEXTS) == heap

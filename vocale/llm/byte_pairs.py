@@ -33,6 +33,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {bytes(map(bytes_of.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in special}
 
 
+def special_strings(vocabulary: str) -> list[str]:
+    """The strings that a tokenizer file takes as one token each; a file of ranks has none."""
+    if not vocabulary.endswith(".json"):
+        return []
+    with open(vocabulary_path(vocabulary), "rb") as f:
+        return [t["content"] for t in json.load(f).get("added_tokens", [])]
+
+
 def serialise(ranks: dict[bytes, int]) -> bytes:
     """A sentencepiece BPE model of the vocabulary, without training.
 

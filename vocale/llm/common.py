@@ -123,6 +123,26 @@ def broadcast_if(rows: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= limit else rows
 
 
+def row_keys(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text", limit: int = 1_000_000) -> DataFrame:
+    """``docs`` with a number ``key`` that equal rows (id and text) share and others do not: the id
+    itself where all its rows are one, else a number above all ids, in the order of id and text
+    hash. Null for a null id. Only ids and hashes are grouped; ids that rows share are broadcast
+    if there are ``limit`` at most, and joined by shuffle beyond."""
+    from vocale.llm.merkle import ranked
+
+    marks = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__mark"))
+    several = marks.groupBy("__id").agg(F.min("__mark").alias("low"), F.max("__mark").alias("high"))
+    several = saved(several.filter("low != high").select("__id"), "shared-ids")
+    if not several.count():
+        return docs.withColumn(key, F.col(doc_id).cast("long"))
+    top = marks.agg(F.max("__id")).first()[0]
+    rows = saved(marks.join(broadcast_if(several, limit), "__id", "left_semi").distinct().withColumn("grp", F.lit("")), "shared-rows")
+    names = saved(ranked(rows, ["__id", "__mark"]).select("__id", "__mark", (F.col("idx") + 1 + top).alias(key)), "row-keys")
+    named = docs.join(
+        broadcast_if(names, limit), (F.col(doc_id) == F.col("__id")) & (F.xxhash64(text) == F.col("__mark")), "left")
+    return named.withColumn(key, F.coalesce(key, F.col(doc_id).cast("long"))).drop("__id", "__mark")
+
+
 def fit_in_task(rows: DataFrame, fit: Callable[[list], bytes]) -> bytes | None:
     """Run ``fit`` on all ``rows`` in one task; the caller bounds their number. The function gets
     the columns as lists, rows in the order of the first columns, and returns the model."""

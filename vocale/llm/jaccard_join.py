@@ -215,21 +215,26 @@ def prefixes(sets: DataFrame, shared: DataFrame, limit: int) -> DataFrame:
     return chosen.select("sid", F.col("x.token").alias("token"))
 
 
+#: What a set adds to the weight of a tile beside its shingles, so that a tile of short sets is bounded too.
+SET_WEIGHT = 500
+
+
 def tiles(members: DataFrame, weight: int) -> DataFrame:
     """(cell, n, sid, shingles): the sets of a candidate group, dealt to tiles.
 
-    A group with up to ``weight`` shingles is one tile. A larger one is cut into bands of sizes,
-    each 4/3 times the one before, and bands into blocks of about ``weight`` shingles; a tile is a
+    A set weighs its shingles and ``SET_WEIGHT`` more. A group of up to ``weight`` is one tile. A
+    larger one is cut into bands of sizes, each 4/3 times the one before, and bands into blocks of
+    about ``weight``, which is 4,000 sets at most for 2,000,000; a tile is a
     pair of blocks of the same or of neighbouring bands, as sets that link differ in size by no
     more than that. Members of a tile know their block, so that a pair is looked at in one tile.
     """
-    total = members.groupBy("group").agg(F.sum("n").alias("total"))
+    total = members.groupBy("group").agg(F.sum(F.col("n") + SET_WEIGHT).alias("total"))
     members = members.join(total, "group").withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(4.0 / 3)) + 1e-9))
     small = members.filter(F.col("total") <= weight).select(
         F.struct("group", F.lit(0).cast("long").alias("b"), F.lit(0).alias("i"), F.lit(0).alias("up"), F.lit(0).alias("j")).alias("cell"),
         F.lit(0).alias("side"), "n", "sid", "shingles")
     large = members.filter(F.col("total") > weight)
-    blocks = large.groupBy("group", "band").agg(F.ceil(F.sum("n") / weight).cast("int").alias("k"))
+    blocks = large.groupBy("group", "band").agg(F.ceil(F.sum(F.col("n") + SET_WEIGHT) / weight).cast("int").alias("k"))
     above = blocks.select("group", (F.col("band") - 1).alias("band"), F.col("k").alias("k_up"))
     below = blocks.select("group", (F.col("band") + 1).alias("band"), F.col("k").alias("k_down"))
     counted = blocks.join(above, ["group", "band"], "left").join(below, ["group", "band"], "left")

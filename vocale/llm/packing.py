@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vocale.llm.common import map_texts, saved, vocabulary_path
-from vocale.llm.token_counts import SCHEMA, VOCABULARY, WordCounts, counter, load
+from vocale.llm.byte_pairs import counter, special_strings
+from vocale.llm.common import broadcast_if, map_texts, saved
+from vocale.llm.token_counts import SCHEMA, VOCABULARY
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -65,8 +66,8 @@ def pack(
     batch takes floor(budget / length) pieces of one bucket; only a bucket's last batch is not full.
 
     Batches are numbered without gathering a bucket in one task: pieces are dealt by hash over
-    shards, numbered in their shard, and moved on by the sizes of the shards before it. The
-    table of shard sizes has 4096 rows a bucket at most. Only narrow rows are shuffled.
+    shards of about 65,536 pieces, however many there are, numbered in their shard, and moved on by
+    the sizes of the shards before it. Only narrow rows are shuffled.
 
     A null or empty text, or a null token count, is one piece of 0 tokens in a slot of at least
     one token. Rows with null or repeated ids are packed like others; an empty table gives an
@@ -87,7 +88,7 @@ def pack(
     histogram = pieces.groupBy(width.alias("length")).agg(F.count(F.lit(1)).alias("rows")).collect()
     histogram.sort()
     ends = best_buckets([r["length"] for r in histogram], [r["rows"] for r in histogram], buckets)
-    shards = min(4096, max(1, -(-sum(r["rows"] for r in histogram) // 4096)))
+    shards = max(1, -(-sum(r["rows"] for r in histogram) // 65_536))
 
     bucket = F.element_at(F.filter(F.array(*[F.lit(e) for e in ends or [1]]), lambda e: e >= width), 1)
     placed = pieces.withColumns({
@@ -97,7 +98,7 @@ def pack(
     offsets = sizes.select("bucket", "shard", F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("ahead"))
     within = Window.partitionBy("bucket", "shard").orderBy("doc_id", "piece", "n_tokens", "mark")
     numbered = placed.withColumn("at", F.row_number().over(within) - 1).join(
-        F.broadcast(offsets), ["bucket", "shard"])
+        broadcast_if(saved(offsets, "offsets"), 1_000_000), ["bucket", "shard"])
     place, per_batch = F.col("ahead") + F.col("at"), F.floor(F.lit(budget) / F.col("bucket"))
     return numbered.select(
         F.col("doc_id").alias(doc_id), "piece", "first_token", "n_tokens", "bucket",
@@ -106,10 +107,9 @@ def pack(
     )
 
 
-def token_numbers(vocabulary: str, cache: int = 150_000):
-    """The counts of known words go with the task: Python workers live on for other operators."""
-    count = counter(vocabulary, 0, WordCounts(load(vocabulary_path(vocabulary))[0], cache))
-    return lambda texts: {"n_tokens": count(texts)["n_tokens"]}
+def token_numbers(vocabulary: str):
+    count = counter(vocabulary, special_strings(vocabulary))
+    return lambda texts: {"n_tokens": count(texts)}
 
 
 def pack_tokens(
@@ -118,7 +118,8 @@ def pack_tokens(
     """``pack`` by the tokens of ``vocabulary``, the ones ``token_counts`` gives; ``limits`` are
     ``max_tokens``, ``buckets`` and ``budget``.
 
-    Tokens are counted beside each text where it is read, without a join; what is packed has the
+    The model that ``byte_pairs`` serialises merges the words; special strings count as one token
+    each, as there. Tokens are counted beside each text where it is read, without a join; what is packed has the
     id, a hash in place of the text, and the count. Null and empty texts, ids and other columns
     are treated as in ``pack``.
     """

@@ -32,7 +32,7 @@ class Terms(dict):
     """Packed term numbers of a word, worked out on first sight; at most ``limit`` words are kept.
     With ``places``, only terms that have a place there, and their places."""
 
-    def __init__(self, places: dict[int, int] | None = None, limit: int = 400_000):
+    def __init__(self, places: dict[int, int] | None = None, limit: int = 150_000):
         super().__init__()
         self.places, self.limit = places, limit
 
@@ -134,17 +134,45 @@ def numbered(terms: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return at[terms[at] == ids] if len(terms) else at[:0]
 
 
+def partners(rows: list[np.ndarray], labels: np.ndarray, most: int, least_docs: int = 20, z: float = 6.0) -> np.ndarray:
+    """Places of the terms of pairs that are more often toxic than either term alone explains.
+
+    ``rows`` hold the places of a document's terms. For all pairs of places the documents with
+    both, and those among them with the label, are counted by matrix products over blocks of
+    rows. A pair stays if its labels are ``z`` deviations above what the higher of the two terms'
+    own rates (and the base rate) gives; of more than ``most`` the strongest.
+    """
+    width = max((int(x.max()) for x in rows if len(x)), default=-1) + 1
+    both, hits = np.zeros((width, width), np.float32), np.zeros((width, width), np.float32)
+    for a in range(0, len(rows), 1024):
+        some, block = rows[a : a + 1024], np.zeros((len(rows[a : a + 1024]), width), np.float32)
+        block[np.repeat(np.arange(len(some)), [len(x) for x in some]), np.concatenate(some)] = 1
+        both += block.T @ block
+        toxic = block[labels[a : a + 1024] > 0]
+        hits += toxic.T @ toxic
+    alone = np.diag(hits) / np.maximum(np.diag(both), 1)
+    expected = np.clip(np.maximum(np.maximum(alone[:, None], alone[None, :]), labels.mean()), 1e-6, 1 - 1e-6)
+    above = (hits - both * expected) / np.sqrt(np.maximum(both, 1) * expected * (1 - expected))
+    above[(both < least_docs) | np.tri(width, dtype=bool)] = 0
+    order = np.argsort(-above, axis=None, kind="stable")[:most]
+    order = order[above.ravel()[order] >= z]
+    return np.unique(np.concatenate(np.unravel_index(order, above.shape)))
+
+
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text",
     modulus: int = 4, held: int = 2, max_rows: int = 20_000, max_terms: int = 4096, min_docs: int = 5,
+    pool: int = 1024, max_pairs: int = 256,
 ) -> Machine:
     """Train on labelled documents with crc32(id as text) mod ``modulus`` not ``held``.
 
     ``max_rows`` bounds the sample of labelled rows. Their hashed terms are saved; Spark counts
-    each term with and without the label, and the ``max_terms`` that differ most from chance
-    (at least 4 standard deviations, in ``min_docs`` documents) stay. The machine is fitted in
-    one task on the bounded sample and is a few hundred KB. Without rows of both labels it scores
-    the base rate (0 without any row).
+    each term with and without the label. Two kinds of terms stay: the ``max_terms`` that differ
+    most from chance alone (at least 4 standard deviations, in ``min_docs`` documents), and those
+    of the ``max_pairs`` pairs that differ most together (``partners``), whatever they do alone.
+    Pairs are looked for among the ``pool`` terms in the most documents, of those in at most half
+    of them. The machine is fitted in one task on the bounded sample and is a few hundred KB.
+    Without rows of both labels it scores the base rate (0 without any row).
     """
     sample = labelled_sample(docs, labels, label, doc_id, modulus, held, max_rows, text)
     rows = saved(map_texts(
@@ -160,13 +188,20 @@ def fit_toxicity(
     spread = F.abs(F.col("k") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base))
     chosen = counts.filter(F.col("n") >= min_docs).withColumn("z", spread).filter("z >= 4")
     picked = chosen.orderBy(F.desc("z"), "term").limit(max_terms).select("term").collect()
-    terms = np.array(sorted(r["term"] for r in picked), dtype=np.int32)
-    if not len(terms):
+    often = counts.filter((F.col("n") >= 4 * min_docs) & (2 * F.col("n") <= n)).orderBy(F.desc("n"), "term").limit(pool)
+    alone = np.array(sorted(r["term"] for r in picked), dtype=np.int32)
+    common = np.array(sorted(r["term"] for r in often.select("term").collect()), dtype=np.int32)
+    if not len(alone) and not len(common):
         return empty
 
     def fit(columns: list) -> bytes:
-        known = [numbered(terms, np.array(x, dtype=np.int32)) for x in columns[2].to_pylist()]
-        return train(known, columns[0].to_numpy().astype(float), terms).dump()
+        y = columns[0].to_numpy().astype(float)
+        ids = [np.array(x, dtype=np.int32) for x in columns[2].to_pylist()]
+        paired = common[partners([numbered(common, x) for x in ids], y, max_pairs, 4 * min_docs)] if len(common) else common
+        terms = np.union1d(alone, paired)
+        if not len(terms):
+            return empty.dump()
+        return train([numbered(terms, x) for x in ids], y, terms).dump()
 
     return Machine.load(fit_in_task(rows.select("label", "doc_id", "terms"), fit))
 
