@@ -1,2 +1,2 @@
 from vocale.plans.registry import ORACLES, QUERIES
-from vocale.plans import features, forecast, lineage, messages, streams  # noqa: F401
+from vocale.plans import features, forecast, lineage, messages, store, streams  # noqa: F401

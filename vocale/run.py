@@ -14,14 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocale.operators import forecast as fc
-from vocale.operators.enrich import enrich
 from vocale.operators.hourly import hourly_counts
 from vocale.operators.rolling import entity_delta, top_rising
 from vocale.schemas import MESSAGE
 from vocale.sources.history import history, history_mentions
 from vocale.sources.messages import read_messages, stream_messages
 from vocale.streaming import epochs
-from vocale.streaming.jobs import FLUSH, enrich_stream, in_order
+from vocale.streaming.jobs import FLUSH, enrich_stream, replay, to_store
 
 
 def as_documents(messages: DataFrame) -> DataFrame:
@@ -42,9 +41,7 @@ def run_enrich(
     if not 0 <= number < epochs.STREAM_BASE:
         raise ValueError(f"the epoch of a batch must be 0..{epochs.STREAM_BASE - 1}")
     messages = as_documents(read_messages(spark, path, multiline))
-    analysed = enrich(in_order(messages), strict_errors=strict_errors).drop("norm")
-    stamped = analysed.withColumn("received_at", F.current_timestamp())
-    epochs.write_epoch(stamped, number, root, received=messages, origin=path)
+    to_store(messages, number, root, path, strict_errors=strict_errors)
 
 
 def run_stream(

@@ -1,4 +1,5 @@
-"""Declared schemas: messages, inference response, the five lineage tables and rejected messages."""
+"""Declared schemas: messages, inference response, the five lineage tables, and the store's own tables:
+rejected and failed messages, deleted runs, hourly parts."""
 
 from __future__ import annotations
 
@@ -51,4 +52,12 @@ TABLES = {
     "rejected_message": (
         "doc_id string, source string, lang string, text string, reason string, received_at timestamp"
     ),
+    "failed_message": (
+        "doc_id string, source string, lang string, text string, reason string, tries int, received_at timestamp"
+    ),
+    "deleted_run": "run_id string",
+    "hourly_part": (
+        "source string, lang string, h bigint, total bigint, negatives bigint, neg_score_sum double"
+    ),
+    "mention_part": "entity string, label string, h bigint, mentions bigint",
 }

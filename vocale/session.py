@@ -22,6 +22,7 @@ def build_session(
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions or cpus or 8))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
