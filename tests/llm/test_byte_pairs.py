@@ -1,6 +1,7 @@
 """Byte-level BPE against the library that reads the same ranks."""
 
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
@@ -8,7 +9,7 @@ import tiktoken
 from helpers import EDGE, edge, empty, sorted_rows
 from pyspark.sql import functions as F
 
-from vocale.llm.byte_pairs import RANKS, BytePairs, byte_pairs, counter, decode_bytes, encode_bytes, read_ranks, serialise, special_strings
+from vocale.llm.byte_pairs import RANKS, BytePairs, Counts, byte_pairs, counter, decode_bytes, encode_bytes, read_ranks, serialise, special_strings
 from vocale.llm.common import vocabulary_path
 from vocale.llm.queries import QUERIES
 from vocale.llm.token_counts import PATTERN, VOCABULARY
@@ -87,3 +88,16 @@ def test_counts_are_those_of_the_heap():
     assert special_strings(VOCABULARY) == ["<|endoftext|>"] and special_strings(RANKS) == []
     heap = heap_counter(VOCABULARY, 512)(TEXTS)["n_tokens"]
     assert counter(VOCABULARY, special_strings(VOCABULARY))(TEXTS) == heap
+
+
+def test_counts_of_chunks_with_any_white_space():
+    """Blanks of all kinds at the ends of chunks, lines and texts, and between them."""
+    rng = random.Random(9)
+    marks = [" ", " ", " ", "  ", "\n", "\n\n", "\t", " \t", "\r\n", "\xa0", "\u2003", "\x1c", "\x85", "a", "It's", "'s", "don't", "12", "!", "é", "日本", "z" * 80]
+    texts = ["".join(rng.choices(marks, k=rng.randrange(12))) for _ in range(4000)] + [None, "", "\n", " ", "a\n", "\na", " a", "a "]
+    want = heap_counter(VOCABULARY, 512)(texts)["n_tokens"]
+    count = counter(VOCABULARY, special_strings(VOCABULARY))
+    assert count(texts) == want == count(texts)
+    few = Counts(byte_pairs(VOCABULARY), 5)
+    assert [few([t or ""])[0] for t in texts[:500]] == want[:500]
+    assert not any(len(k) > 64 for k in few.chunks)

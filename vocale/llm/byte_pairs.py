@@ -166,15 +166,82 @@ def decode_bytes(ids: Column, vocabulary: str = RANKS) -> Column:
     return decode(ids)
 
 
+class Counts:
+    """Numbers of tokens, by what stands between blanks.
+
+    A chunk with the blank before it is cut like it would be in the text, as long as it neither is
+    empty nor begins or ends with white space: no match of the pattern goes on after a character
+    that is not white space and before a blank. So a text whose chunks are all of that kind has
+    the tokens of its chunks; any other text is cut as a whole. ``limit`` chunks of at most 64
+    characters are kept between batches.
+
+    A printable ASCII chunk without an apostrophe is not even cut: if no token of the vocabulary
+    goes on over the end of a match, as is checked once, merges do not either.
+    """
+
+    UNSAFE = -(1 << 60)
+
+    def __init__(self, coder: BytePairs, limit: int):
+        self.coder, self.limit = coder, limit
+        self.chunks: dict[str, int] = {}
+        plain = [t for raw in coder.whole if raw.isascii() and (t := raw.decode()).isprintable() and "'" not in t]
+        self.closed = all(coder.words(t) == [t] for t in plain if t.strip(" "))
+
+    def encoded(self, words: list[str]) -> list[int]:
+        """The numbers of tokens of words, merged without cutting them."""
+        mapped = [w.encode().decode("latin-1").translate(self.coder.letters) for w in words]
+        return list(map(len, self.coder.model.encode(mapped, num_threads=1)))
+
+    def counted(self, texts: list[str]) -> list[int]:
+        """The numbers of tokens of texts cut by the pattern; words are encoded in one call."""
+        coder = self.coder
+        cut = [coder.words(t) for t in texts]
+        known = dict.fromkeys(set().union(*cut), 1)
+        rest = [w for w in known if w.encode() not in coder.whole]
+        known.update(zip(rest, self.encoded(rest)))
+        return [sum(map(known.__getitem__, words)) for words in cut]
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        chunks = self.chunks
+        if len(chunks) > self.limit:
+            chunks.clear()
+        cut = [t.split(" ") for t in texts]
+        first = [keys.pop(0) for keys in cut]
+        new = list(set().union(*cut).difference(chunks))
+        safe = [k for k in new if k and not k[0].isspace() and not k[-1].isspace()]
+        chunks.update(dict.fromkeys(new, self.UNSAFE))
+        plain, others = [], []
+        for k in safe:
+            (plain if self.closed and k.isascii() and k.isprintable() and "'" not in k else others).append(" " + k)
+        for some, numbers in ((plain, self.encoded(plain)), (others, self.counted(others))):
+            chunks.update(zip([k[1:] for k in some], numbers))
+        heads = [n if keys == [] or head and not head[-1].isspace() else self.UNSAFE
+                 for head, keys, n in zip(first, cut, self.counted(first))]
+        out = [n + sum(map(chunks.__getitem__, keys)) for n, keys in zip(heads, cut)]
+        whole = [i for i, n in enumerate(out) if n < 0]
+        for i, n in zip(whole, self.counted([texts[i] for i in whole])):
+            out[i] = n
+        for key in new:
+            if len(key) > 64:
+                del chunks[key]
+        return out
+
+
+@functools.lru_cache(2)
+def counts_of(vocabulary: str, limit: int = 300_000) -> Counts:
+    """One per Python worker and vocabulary."""
+    return Counts(byte_pairs(vocabulary), limit)
+
+
 def counter(vocabulary: str, special: list[str]):
     """A function from a list of texts to their numbers of tokens, where each of the strings
     ``special`` is one token."""
-    coder = byte_pairs(vocabulary)
+    counts = counts_of(vocabulary)
     specials = regex.compile("|".join(map(regex.escape, special))) if special else None
 
     def count(texts: list) -> list[int]:
-        cut = [specials.split(t) if specials and t and specials.search(t) else [t or ""] for t in texts]
-        words = [list(itertools.chain.from_iterable(map(coder.words, parts))) for parts in cut]
-        return [len(ids) // 4 + len(parts) - 1 for ids, parts in zip(coder.packed(words), cut)]
+        parts = [specials.split(t) if specials and t and specials.search(t) else [t or ""] for t in texts]
+        each = iter(counts([p for text in parts for p in text]))
+        return [sum(itertools.islice(each, len(text))) + len(text) - 1 for text in parts]
 
     return count
