@@ -84,6 +84,12 @@ class BytePairs:
         self.words, self.limit = regex.compile(PATTERN).findall, limit
         self.known: dict[str, bytes] = {}
 
+    @functools.cached_property
+    def closed(self) -> bool:
+        """Whether each printable ASCII token without an apostrophe lies in one match of the pattern."""
+        plain = [t for raw in self.whole if raw.isascii() and (t := raw.decode()).isprintable() and "'" not in t]
+        return all(self.words(t) == [t] for t in plain if t.strip(" "))
+
     def learn(self, words: list[str]) -> None:
         """Add the packed ids of ``words``. A word that is a token is that token."""
         rest = []
@@ -184,8 +190,7 @@ class Counts:
     def __init__(self, coder: BytePairs, limit: int):
         self.coder, self.limit = coder, limit
         self.chunks: dict[str, int] = {}
-        plain = [t for raw in coder.whole if raw.isascii() and (t := raw.decode()).isprintable() and "'" not in t]
-        self.closed = all(coder.words(t) == [t] for t in plain if t.strip(" "))
+        self.closed = coder.closed
 
     def encoded(self, words: list[str]) -> list[int]:
         """The numbers of tokens of words, merged without cutting them."""
@@ -227,16 +232,11 @@ class Counts:
         return out
 
 
-@functools.lru_cache(2)
-def counts_of(vocabulary: str, limit: int = 300_000) -> Counts:
-    """One per Python worker and vocabulary."""
-    return Counts(byte_pairs(vocabulary), limit)
-
-
-def counter(vocabulary: str, special: list[str]):
+def counter(vocabulary: str, special: list[str], limit: int = 200_000):
     """A function from a list of texts to their numbers of tokens, where each of the strings
-    ``special`` is one token."""
-    counts = counts_of(vocabulary)
+    ``special`` is one token. The chunks it keeps go with it: Python workers live on for other
+    operators, and keep only the model."""
+    counts = Counts(byte_pairs(vocabulary), limit)
     specials = regex.compile("|".join(map(regex.escape, special))) if special else None
 
     def count(texts: list) -> list[int]:
