@@ -192,9 +192,8 @@ class Counts:
         self.chunks: dict[str, int] = {}
         self.closed = coder.closed
 
-    def encoded(self, words: list[str]) -> list[int]:
-        """The numbers of tokens of words, merged without cutting them."""
-        mapped = [w.encode().decode("latin-1").translate(self.coder.letters) for w in words]
+    def merged(self, mapped: list[str]) -> list[int]:
+        """The numbers of tokens of words in the model's letters, merged without cutting them."""
         return list(map(len, self.coder.model.encode(mapped, num_threads=1)))
 
     def counted(self, texts: list[str]) -> list[int]:
@@ -203,7 +202,7 @@ class Counts:
         cut = [coder.words(t) for t in texts]
         known = dict.fromkeys(set().union(*cut), 1)
         rest = [w for w in known if w.encode() not in coder.whole]
-        known.update(zip(rest, self.encoded(rest)))
+        known.update(zip(rest, self.merged([w.encode().decode("latin-1").translate(coder.letters) for w in rest])))
         return [sum(map(known.__getitem__, words)) for words in cut]
 
     def __call__(self, texts: list[str]) -> list[int]:
@@ -212,14 +211,15 @@ class Counts:
             chunks.clear()
         cut = [t.split(" ") for t in texts]
         first = [keys.pop(0) for keys in cut]
-        new = list(set().union(*cut).difference(chunks))
-        safe = [k for k in new if k and not k[0].isspace() and not k[-1].isspace()]
-        chunks.update(dict.fromkeys(new, self.UNSAFE))
-        plain, others = [], []
-        for k in safe:
-            (plain if self.closed and k.isascii() and k.isprintable() and "'" not in k else others).append(" " + k)
-        for some, numbers in ((plain, self.encoded(plain)), (others, self.counted(others))):
-            chunks.update(zip([k[1:] for k in some], numbers))
+        new = set().union(*cut).difference(chunks)
+        # Printable ASCII letters stand for themselves in the model, and chunks have no blank.
+        plain = [k for k in new if k.isascii() and k.isprintable() and "'" not in k and k] if self.closed else []
+        blank = chr(self.coder.letters[32])
+        chunks.update(zip(plain, self.merged([blank + k for k in plain])))
+        others = new.difference(plain)
+        safe = [k for k in others if k and not k[0].isspace() and not k[-1].isspace()]
+        chunks.update(dict.fromkeys(others, self.UNSAFE))
+        chunks.update(zip(safe, self.counted([" " + k for k in safe])))
         heads = [n if keys == [] or head and not head[-1].isspace() else self.UNSAFE
                  for head, keys, n in zip(first, cut, self.counted(first))]
         out = [n + sum(map(chunks.__getitem__, keys)) for n, keys in zip(heads, cut)]
@@ -232,7 +232,7 @@ class Counts:
         return out
 
 
-def counter(vocabulary: str, special: list[str], limit: int = 200_000):
+def counter(vocabulary: str, special: list[str], limit: int = 400_000):
     """A function from a list of texts to their numbers of tokens, where each of the strings
     ``special`` is one token. The chunks it keeps go with it: Python workers live on for other
     operators, and keep only the model."""
