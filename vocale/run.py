@@ -1,7 +1,9 @@
-"""Jobs to submit: ``spark-submit --py-files vocale.zip submit.py enrich|stream|forecast ...``.
+"""Jobs to submit: ``spark-submit --py-files vocale.zip submit.py enrich|stream|replay|delete|compact|forecast ...``.
 
 enrich    read messages once and store one epoch
 stream    follow a folder of message files and store an epoch per micro-batch
+replay    run failed documents again, up to a number of tries
+delete    delete the runs that a parquet table (run_id) names, with their results
 compact   fold the marked epochs up to one into a base copy of each table
 forecast  read the stored history and write the alert table of the hours in it
 """
@@ -14,10 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocale.operators import forecast as fc
-from vocale.operators.hourly import hourly_counts
 from vocale.operators.rolling import entity_delta, top_rising
 from vocale.schemas import MESSAGE
-from vocale.sources.history import history, history_mentions
 from vocale.sources.messages import read_messages, stream_messages
 from vocale.streaming import epochs
 from vocale.streaming.jobs import FLUSH, enrich_stream, replay, to_store
@@ -66,18 +66,17 @@ def run_forecast(
 ) -> bool:
     """Write the alerts of the stored history; False when the history holds no spike to learn from.
 
-    The hourly parts and the training table are written below ``out`` and read back, so the
-    history is read once and the model passes over one row per hour. Sources and languages with
+    The hours come from the table that the epochs keep, so neither runs nor texts are read. It and
+    the training table are written below ``out`` and read back: the model passes over one row per
+    hour. Sources and languages with
     columns of their own are the most frequent ones of the history unless given.
     """
-    feed = history({t: epochs.current(spark, root, t) for t in epochs.KEYS})
-
     def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{out}/{name}")
         return spark.read.parquet(f"{out}/{name}")
 
-    counts = stored(hourly_counts(feed, "source", "lang"), "feedback_hourly_stats")
-    mentions = stored(history_mentions(feed), "entity_hourly")
+    counts = stored(epochs.hourly_table(spark, root), "feedback_hourly_stats")
+    mentions = stored(epochs.hourly_table(spark, root, "mention_part"), "entity_hourly")
     sources = most_frequent(counts, "source") if sources is None else sources
     languages = most_frequent(counts, "lang") if languages is None else languages
     table = stored(fc.training_table(counts, mentions, sources, languages), "training_table")
@@ -104,13 +103,19 @@ def main() -> None:
     fold = jobs.add_parser("compact")
     fold.add_argument("root")
     fold.add_argument("upto", type=int)
+    again = jobs.add_parser("replay")
+    again.add_argument("root")
+    again.add_argument("--tries", type=int, default=3)
+    gone = jobs.add_parser("delete")
+    gone.add_argument("root")
+    gone.add_argument("runs", help="a parquet table with run_id")
     ahead = jobs.add_parser("forecast")
     ahead.add_argument("root")
     ahead.add_argument("out")
     ahead.add_argument("--sources", help="comma-separated; the most frequent ones of the history if left out")
     ahead.add_argument("--languages", help="the same for languages")
     ahead.add_argument("--cut", type=float, default=0.5)
-    for job in (one, follow):
+    for job in (one, follow, again):
         job.add_argument("--strict-errors", action="store_true", help="any stage error fails the document")
     a = parser.parse_args()
 
@@ -119,6 +124,10 @@ def main() -> None:
         run_enrich(spark, a.path, a.root, a.epoch, not a.lines, a.strict_errors)
     elif a.job == "compact":
         epochs.compact(spark, a.root, a.upto)
+    elif a.job == "replay":
+        replay(spark, a.root, max_tries=a.tries, strict_errors=a.strict_errors)
+    elif a.job == "delete":
+        epochs.delete_runs(spark, a.root, spark.read.parquet(a.runs))
     elif a.job == "stream":
         run_stream(spark, a.path, a.root, a.checkpoint, a.max_files, strict_errors=a.strict_errors)
     elif not run_forecast(
