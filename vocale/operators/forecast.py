@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from vocale.operators.hourly import dense, roll_up
 from vocale.operators.rolling import (
-    WINDOWS, entity_delta, future_negatives, in_blocks, language_shift, frame, new_entities, own_rows, rolling,
+    WINDOWS, future_negatives, in_blocks, language_shift, frame, new_entities, own_rows, peak_delta, rolling,
     threshold as spike_level,
 )
 
@@ -65,8 +65,9 @@ def language_shares(counts: DataFrame, languages: Sequence[str], hours: int = 24
 
 
 def entity_features(entity_hourly: DataFrame) -> DataFrame:
-    """h, the largest entity_frequency_delta and the number of new entities of the hour."""
-    delta = entity_delta(entity_hourly).groupBy("h").agg(F.max("delta").alias("entity_frequency_delta"))
+    """h, the largest entity_frequency_delta of the hour, whether the entity is mentioned in it or
+    before, and the number of new entities of the hour."""
+    delta = peak_delta(entity_hourly).withColumnRenamed("delta", "entity_frequency_delta")
     new = new_entities(entity_hourly).groupBy("h").agg(F.count(F.lit(1)).alias("new_entities_in_negatives"))
     return delta.join(new, "h", "full").na.fill(0)
 
@@ -119,6 +120,13 @@ def with_target(rows: DataFrame, sigma: float = 2.0) -> DataFrame:
     return rows.join(limits, "fold").withColumn("y", (F.col("future_negatives") > F.col("threshold")).cast("int"))
 
 
+def with_history_target(table: DataFrame, sigma: float = 2.0) -> DataFrame:
+    """Add threshold (mean + sigma deviations of all hours whose target is known) and y."""
+    limit = spike_level(table, sigma).select("threshold").scalar()
+    return table.withColumn("threshold", limit).withColumn(
+        "y", (F.col("future_negatives") > F.col("threshold")).cast("int"))
+
+
 def class_weights(rows: DataFrame) -> DataFrame:
     """Per fold: training rows by class and the weight of a positive, NULL without positives."""
     train = rows.filter((F.col("role") == "train") & F.col("y").isNotNull())
@@ -176,8 +184,7 @@ def train_forecast(rows: DataFrame, cut: float = 0.5, parallelism: int = 4) -> D
 
 def fit_history(table: DataFrame, sigma: float = 2.0) -> PipelineModel | None:
     """A model on all hours with a known target; None when they are of one class."""
-    limit = spike_level(table, sigma).select("threshold").scalar()
-    rows = table.withColumn("y", (F.col("future_negatives") > limit).cast("int"))
+    rows = with_history_target(table, sigma)
     counts = class_weights(rows.withColumns({"fold": F.lit(0), "role": F.lit("train")})).first()
     if counts is None or not counts["positives"] or not counts["negatives_rows"]:
         return None

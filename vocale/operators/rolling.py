@@ -97,6 +97,46 @@ def entity_delta(entity_hourly: DataFrame, recent: int = 24, days: int = 7) -> D
     return own_rows(in_blocks(entity_hourly, recent + base).withColumn("delta", delta.cast("double")))
 
 
+def delta_spans(entity_hourly: DataFrame, recent: int = 24, days: int = 7) -> DataFrame:
+    """entity_frequency_delta at every hour, as spans (entity, label, first, until, delta) in which it
+    stays the same, ``until`` being the hour after the last.
+
+    The delta of an entity changes at three hours a mention only: when the mention comes, leaves the
+    last day, and leaves the days before it. The sums run over these hours in whole numbers, so an
+    entity costs rows by its mentions, not by the hours of the history. Spans in which nothing of
+    the last ``days`` + 1 days is left have no row.
+    """
+    m = F.col("mentions")
+    changes = entity_hourly.select("entity", "label", F.inline(F.array(
+        F.struct(F.col("h").alias("first"), (days * m).alias("_delta"), m.alias("_left")),
+        F.struct((F.col("h") + recent).alias("first"), (-(days + 1) * m).alias("_delta"), F.lit(0).cast("bigint").alias("_left")),
+        F.struct((F.col("h") + recent + 24 * days).alias("first"), m.alias("_delta"), (-m).alias("_left")),
+    )))
+    steps = changes.groupBy("entity", "label", "first").agg(F.sum("_delta").alias("_delta"), F.sum("_left").alias("_left"))
+    order = W.partitionBy("entity", "label").orderBy("first")
+    so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    spans = steps.select(
+        "entity", "label", "first", F.lead("first").over(order).alias("until"),
+        (F.sum("_delta").over(so_far) / F.lit(days)).alias("delta"), F.sum("_left").over(so_far).alias("_left"))
+    return spans.filter("_left > 0").drop("_left")
+
+
+def peak_delta(entity_hourly: DataFrame, recent: int = 24, days: int = 7) -> DataFrame:
+    """h and the largest entity_frequency_delta of the hour, over all entities that were mentioned in
+    its last ``days`` + 1 days, whether in this very hour or before.
+
+    The hours of a span are two overlapping runs whose length is a power of two; the maximum per
+    length and start combines map-side, and what is left is a few rows per hour to spread out.
+    """
+    spans = delta_spans(entity_hourly, recent, days)
+    size = F.pow(F.lit(2), F.floor(F.log2(F.col("until") - F.col("first")))).cast("bigint")
+    runs = spans.withColumn("_size", size).select(
+        "_size", "delta", F.explode(F.array_distinct(F.array(F.col("first"), F.col("until") - F.col("_size")))).alias("_at"))
+    tops = runs.groupBy("_size", "_at").agg(F.max("delta").alias("delta"))
+    hours = tops.select(F.explode(F.sequence(F.col("_at"), F.col("_at") + F.col("_size") - 1)).alias("h"), "delta")
+    return hours.groupBy("h").agg(F.max("delta").alias("delta"))
+
+
 def new_entities(entity_hourly: DataFrame) -> DataFrame:
     """Entities by the hour of their first negative mention."""
     return entity_hourly.groupBy("entity", "label").agg(F.min("h").alias("h"))

@@ -151,12 +151,9 @@ def rate_change(spark, root):
     return rounded(show_hour(changes), *[c for c in changes.columns if c != "h"])
 
 
-@query(
-    "language_shift",
-    f"""WITH {o.HOURLY},
-grid AS (SELECT hour, lang FROM spine CROSS JOIN (SELECT DISTINCT lang FROM feed)),
+SHIFT = """grid_lang AS (SELECT hour, lang FROM spine CROSS JOIN (SELECT DISTINCT lang FROM feed)),
 mix AS (
-  SELECT g.hour, g.lang, count(f.event_id) AS n FROM grid g LEFT JOIN feed f
+  SELECT g.hour, g.lang, count(f.event_id) AS n FROM grid_lang g LEFT JOIN feed f
   ON f.hour = g.hour AND f.lang = g.lang GROUP BY ALL),
 sums AS (
   SELECT hour, lang,
@@ -165,10 +162,13 @@ sums AS (
          coalesce(sum(n) OVER (PARTITION BY lang ORDER BY hour
            RANGE BETWEEN INTERVAL 191 HOUR PRECEDING AND INTERVAL 24 HOUR PRECEDING), 0) AS q
   FROM mix),
-whole AS (SELECT hour, sum(p) AS p_all, sum(q) AS q_all FROM sums GROUP BY hour)
-SELECT hour, round(0.5 * sum(abs(p::DOUBLE / nullif(p_all, 0)::DOUBLE - q::DOUBLE / nullif(q_all, 0)::DOUBLE)), 6) AS shift
-FROM sums JOIN whole USING (hour) GROUP BY hour""",
-)
+whole AS (SELECT hour, sum(p) AS p_all, sum(q) AS q_all FROM sums GROUP BY hour),
+shifts AS (
+  SELECT hour, round(0.5 * sum(abs(p::DOUBLE / nullif(p_all, 0)::DOUBLE - q::DOUBLE / nullif(q_all, 0)::DOUBLE)), 6) AS shift
+  FROM sums JOIN whole USING (hour) GROUP BY hour)"""
+
+
+@query("language_shift", f"WITH {o.HOURLY},\n{SHIFT} SELECT hour, shift FROM shifts")
 def language_shift(spark, root):
     counts = hourly.language_mix(hourly_feedback(spark, root, scores=False)).select("lang", "h", "total")
     return rounded(show_hour(rolling.language_shift(stored(spark, counts, "languages"))), "shift")

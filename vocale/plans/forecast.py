@@ -8,7 +8,7 @@ from vocale.operators import forecast as fc
 from vocale.operators.hourly import hourly_counts
 from vocale.operators.rolling import WINDOWS, entity_delta, threshold, top_rising
 from vocale.plans import oracle as o
-from vocale.plans.features import _FUTURE, _over, _sql_rate
+from vocale.plans.features import SHIFT, _FUTURE, _over, _sql_rate
 from vocale.plans.inputs import as_double, dense_counts, hourly_feedback, mentions_by_hour, rounded, show_hour, stored
 from vocale.plans.registry import query
 
@@ -74,23 +74,44 @@ training AS (
   FROM rolled r JOIN future f USING (hour) LEFT JOIN source_rates s USING (hour) LEFT JOIN lang_shares l USING (hour))"""
 
 _DOUBLES = (
-    ["neg_score_sum", "future_negatives"]
+    ["neg_score_sum", "future_negatives", "threshold", "y", "language_shift", "entity_frequency_delta"]
     + [f"{p}_{x}h" for x in WINDOWS for p in ("negative_rate", "avg_sentiment_score", "negative_rate_change")]
     + [f"negative_rate_{s}" for s in (*SOURCES, fc.OTHER)]
     + [f"share_{x}" for x in (*LANGUAGES, fc.OTHER)]
 )
-_WHOLE = ["total", "negatives"] + [f"negative_volume_{x}h" for x in WINDOWS]
+_WHOLE = ["total", "negatives", "new_entities_in_negatives"] + [f"negative_volume_{x}h" for x in WINDOWS]
+
+
+_FEATURES = f"""{_TRAINING},
+grid AS (
+  SELECT DISTINCT entity, label, unnest(generate_series(hour, hour + INTERVAL 191 HOUR, INTERVAL 1 HOUR)) AS hour FROM mentions),
+moved AS (
+  SELECT hour, sum(coalesce(mentions, 0)) OVER (PARTITION BY entity, label ORDER BY hour
+           RANGE BETWEEN INTERVAL 23 HOUR PRECEDING AND CURRENT ROW)
+         - coalesce(sum(coalesce(mentions, 0)) OVER (PARTITION BY entity, label ORDER BY hour
+           RANGE BETWEEN INTERVAL 191 HOUR PRECEDING AND INTERVAL 24 HOUR PRECEDING), 0)::DOUBLE / 7 AS delta
+  FROM grid LEFT JOIN mentions USING (entity, label, hour)),
+peaks AS (SELECT hour, max(delta) AS entity_frequency_delta FROM moved GROUP BY hour),
+firsts AS (SELECT hour, count(*) AS new_entities_in_negatives FROM (
+  SELECT entity, label, min(hour) AS hour FROM mentions GROUP BY entity, label) GROUP BY hour),
+{SHIFT},
+features AS (
+  SELECT t.*, x.shift AS language_shift, coalesce(p.entity_frequency_delta, 0) AS entity_frequency_delta,
+         coalesce(n.new_entities_in_negatives, 0) AS new_entities_in_negatives, threshold,
+         (future_negatives > threshold)::INTEGER AS y
+  FROM training t LEFT JOIN shifts x USING (hour) LEFT JOIN peaks p USING (hour) LEFT JOIN firsts n USING (hour), level)"""
 
 
 @query(
     "training_table",
-    f"""WITH {_TRAINING}
-SELECT hour, {", ".join(_WHOLE)}, {", ".join(f"round({d}::DOUBLE, 6) + 0.0 AS {d}" for d in _DOUBLES)} FROM training""",
+    f"""WITH {o.MENTIONS}{_FEATURES.removeprefix(o.SCORED).replace(o.ARRIVALS + ",", "", 1)}
+SELECT hour, {", ".join(_WHOLE)}, {", ".join(f"round({d}::DOUBLE, 6) + 0.0 AS {d}" for d in _DOUBLES)} FROM features""",
 )
 def training_table(spark, root):
-    """All numeric features; the entity and language-shift columns have their own queries."""
-    out = show_hour(_table(spark, root)).select("hour", *_WHOLE, *_DOUBLES)
-    return rounded(as_double(out, "future_negatives"), *_DOUBLES)
+    """All features of every hour and the target: y by the level over the whole history."""
+    table = stored(spark, _table(spark, root), "training")
+    out = show_hour(fc.with_history_target(table)).select("hour", *_WHOLE, *_DOUBLES)
+    return rounded(as_double(out, "future_negatives", "y"), *_DOUBLES)
 
 
 _CUT = "(SELECT min(hour) + INTERVAL 480 HOUR FROM hourly)"
@@ -168,22 +189,13 @@ def forecast_metrics(spark, root):
     return rounded(fc.metrics(fc.rule_prediction(_fold_rows(spark, root))), "recall", "precision")
 
 
-@query(
-    "train_forecast",
-    f"""WITH {_FOLDS},
-classes AS (SELECT fold, count(DISTINCT y) AS n FROM targets WHERE role = 'train' GROUP BY fold)
-SELECT fold::BIGINT AS fold, hour, y::DOUBLE AS y, n = 2 AS scored, true AS consistent
-FROM targets JOIN classes USING (fold) WHERE role = 'test'""",
-)
+@query("train_forecast")
 def train_forecast(spark, root):
-    """Test hours of every fold: scored where its training part has both classes, with a
-    probability in range and the prediction that follows from it."""
+    """Test hours of every fold with the probability of a spike and the prediction; NULL where the
+    training part has one class only."""
     rows = fc.with_target(fc.folds(stored(spark, _table(spark, root), "training")))
     out = show_hour(fc.train_forecast(stored(spark, rows, "folds")))
-    p = F.col("probability")
-    agrees = F.col("prediction") == (p > 0.5).cast("int")
-    fits = F.when(p.isNull(), F.col("prediction").isNull()).otherwise(p.between(0, 1) & agrees)
-    return as_double(out.select("fold", "hour", "y", p.isNotNull().alias("scored"), fits.alias("consistent")), "y")
+    return as_double(out.select("fold", "hour", "y", "probability", "prediction"), "y", "prediction")
 
 
 def _final_model(spark, root):

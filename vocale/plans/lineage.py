@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vocale.functions.ids import document_uuid, run_uuid, source_uuid
+from vocale.functions.analysis import PROMPT_VERSION, SYSTEM_PROMPT, USER_PROMPT
+from vocale.functions.ids import document_uuid, run_uuid, source_uuid, uuid5
 from vocale.functions.text import blank_to_null
 from vocale.operators import batches, lineage as ln, matching, tables as tb, upserts
+from vocale.operators.enrich import DEFAULT_MODELS, enrich, stamp_versions
 from vocale.plans import oracle as o
 from vocale.plans.inputs import feedback, rounded, stored, work
+from vocale.plans.messages import SUMMARIES
 from vocale.plans.registry import query
 from vocale.sources.feed import arrivals, spread, table
 
@@ -174,39 +177,96 @@ runs AS (
   QUALIFY row_number() OVER (PARTITION BY doc_id, week ORDER BY event_id DESC) = 1)"""
 
 
+def _model_ids(runs):
+    """Ids and versions of the built-in models, which follow from their keys."""
+    rows = stamp_versions(runs)
+    for m in DEFAULT_MODELS:
+        rows = tb.with_model_id(rows, m.task)
+    return rows
+
+
+_MODEL_IDS = ", ".join(
+    o.uuid5(f"'model|{m.name}|{m.version}|-|{m.task}|{m.provider}'") + f" AS {m.task}_model_id" for m in DEFAULT_MODELS
+)
+_STAMPS = f"""{_MODEL_IDS}, 'batch_pipeline' AS trigger_type, '{PROMPT_VERSION}' AS prompt_version,
+       sha256({o.text(SYSTEM_PROMPT + USER_PROMPT)}) AS prompt_hash, 'unknown' AS service_git_sha"""
+
+
 @query(
     "upsert_runs",
     f"""WITH {_RUNS}
-SELECT run_id, {o.uuid5('doc_id::VARCHAR')} AS document_id, status AS run_status, 'batch_pipeline' AS trigger_type,
-       ts AS started_at, ts + to_milliseconds(processing_ms) AS completed_at, error AS error_message FROM runs""",
+SELECT run_id AS id, {o.uuid5('doc_id::VARCHAR')} AS document_id, status AS run_status, {_STAMPS},
+       ts AS started_at, ts + to_milliseconds(processing_ms) AS completed_at, ts AS created_at, error AS error_message FROM runs""",
 )
 def upsert_runs(spark, root):
+    """Every column of the run table."""
     last = upserts.latest(
         _runs(spark, root), ["run_id"], "event_id", columns=["doc_id", "status", "ts", "processing_ms", "error"]
     )
-    return last.select(
-        "run_id",
+    return _model_ids(last).select(
+        F.col("run_id").alias("id"),
         document_uuid(F.col("doc_id")).alias("document_id"),
+        *[f"{m.task}_model_id" for m in DEFAULT_MODELS],
         F.col("status").alias("run_status"),
         F.lit("batch_pipeline").alias("trigger_type"),
+        "prompt_version", "prompt_hash", "service_git_sha",
         F.col("ts").alias("started_at"),
         tb.run_end(F.col("ts"), F.col("processing_ms")).alias("completed_at"),
+        F.col("ts").alias("created_at"),
         F.col("error").alias("error_message"),
     )
 
 
+def _answers(spark, root):
+    """What the stages say of each document, without its text; written, as it is joined by id."""
+    docs = spread(table(spark, root, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
+    told = enrich(docs).select(
+        "doc_id", "sentiment_label", "sentiment_score", "entities", "summary", F.col("error").alias("stage_error"),
+        upserts.content_hash(F.col("text")).alias("hash"))
+    return stored(spark, told, "answers")
+
+
+def _entity_string(entities):
+    return F.array_join(F.transform(entities, lambda e: F.concat(
+        e["text"], F.lit("/"), e["label"], F.lit("@"), e["start"].cast("string"), F.lit("-"), e["end"].cast("string"))), " ")
+
+
+# work, with what the stages say of each document: entities in one string, summary, its error
+_ANSWERED = f"""{SUMMARIES}{o.WORK.removeprefix(o.SCORED)},
+listed AS (
+  SELECT doc_id, string_agg(entity || '/' || label || '@' || start_at || '-' || end_at, ' ' ORDER BY pos) AS entities
+  FROM found GROUP BY doc_id),
+answered AS (
+  SELECT w.*, coalesce(l.entities, '') AS entities, s.summary, 'summary_failed: ' || s.summary_error AS stage_error,
+         d.lang AS doc_lang, sha256(d.norm) AS hash
+  FROM work w JOIN docs d ON d.doc_id = w.doc_id AND d.norm <> '' JOIN summaries s ON s.doc_id = w.doc_id
+  LEFT JOIN listed l ON l.doc_id = w.doc_id)"""
+
+
 @query(
     "upsert_results",
-    f"""WITH {o.WORK}
-SELECT {_RUN_ID} AS analysis_run_id, sentiment_label, round(sentiment_score, 6) AS sentiment_score,
-       processing_ms::INTEGER AS processing_ms
-FROM work WHERE status = 'done' QUALIFY row_number() OVER (PARTITION BY doc_id, week ORDER BY event_id DESC) = 1""",
+    f"""WITH {_ANSWERED},
+last AS (
+  SELECT *, {_RUN_ID} AS run FROM answered WHERE status = 'done'
+  QUALIFY row_number() OVER (PARTITION BY doc_id, week ORDER BY event_id DESC) = 1)
+SELECT {o.uuid5("'result|' || run")} AS id, run AS analysis_run_id, sentiment_label, round(sentiment_score, 6) AS sentiment_score,
+       entities, summary, processing_ms::INTEGER AS processing_ms, ts AS created_at FROM last""",
 )
 def upsert_results(spark, root):
-    done = _runs(spark, root, scores=True).filter(F.col("status") == "done")
-    columns = ["sentiment_label", "sentiment_score", "processing_ms"]
-    last = upserts.latest(done, ["run_id"], "event_id", columns=columns).withColumnRenamed("run_id", "analysis_run_id")
-    return rounded(last.withColumn("processing_ms", tb.clamp_ms(F.col("processing_ms"))), "sentiment_score")
+    """Every column of the result table. The winning version is found from narrow rows; entities and
+    summary are joined to the winners, so they are neither sorted nor grouped."""
+    done = _runs(spark, root).filter(F.col("status") == "done")
+    last = upserts.latest(done, ["run_id"], "event_id", columns=["doc_id", "processing_ms", "ts"])
+    out = last.join(_answers(spark, root), "doc_id").select(
+        uuid5(F.concat_ws("|", F.lit("result"), "run_id")).alias("id"),
+        F.col("run_id").alias("analysis_run_id"),
+        "sentiment_label", "sentiment_score",
+        _entity_string(F.col("entities")).alias("entities"),
+        "summary",
+        tb.clamp_ms(F.col("processing_ms")).alias("processing_ms"),
+        F.col("ts").alias("created_at"),
+    )
+    return rounded(out, "sentiment_score")
 
 
 @query("run_ids", f"WITH {o.WORK} SELECT event_id, doc_id, {_RUN_ID} AS run_id FROM work")
@@ -295,11 +355,16 @@ def reconcile(spark, root):
 
 
 def _analysed(spark, root):
-    """The feed as an analysed batch without texts."""
-    return work(spark, root).select(
-        "doc_id", "source", "lang", "status", "error", "sentiment_label", "sentiment_score", "processing_ms",
-        F.lit(None).cast("string").alias("text"), F.array().cast("array<struct<text:string,label:string,start:int,end:int,score:float>>").alias("entities"),
-        F.lit(None).cast("string").alias("summary"), F.col("event_id").alias("seq"), F.col("ts").alias("received_at"),
+    """The last version of each run as an analysed batch, with what the stages say of its document.
+    Texts stay out: lineage shows their hash."""
+    last = upserts.latest(
+        work(spark, root, scores=False), ["doc_id", "week"], "event_id",
+        columns=["event_id", "source", "lang", "status", "error", "processing_ms", "ts"])
+    answers = _answers(spark, root)
+    return last.join(answers, "doc_id").select(
+        "doc_id", "source", "lang", "status", F.coalesce("error", "stage_error").alias("error"),
+        "sentiment_label", "sentiment_score", "processing_ms", F.lit(None).cast("string").alias("text"), "hash",
+        "entities", "summary", F.col("event_id").alias("seq"), F.col("ts").alias("received_at"),
         F.col("ts").alias("started_at"), F.col("week").alias("epoch_id"),
     )
 
@@ -309,20 +374,29 @@ _LINEAGE_RUN = o.uuid5("'run|' || doc_id || '|' || week || '|lexicon+patterns+ex
 
 @query(
     "lineage",
-    f"""WITH {_RUNS},
-latest_lang AS (SELECT doc_id, lang FROM docs)
-SELECT {_LINEAGE_RUN} AS run_id, {o.uuid5('doc_id::VARCHAR')} AS document_id, lang AS language, 'source-' || source AS source_name,
+    f"""WITH {_ANSWERED},
+runs AS (
+  SELECT *, status = 'done' AS done FROM answered
+  QUALIFY row_number() OVER (PARTITION BY doc_id, week ORDER BY event_id DESC) = 1)
+SELECT {_LINEAGE_RUN} AS run_id, {o.uuid5('doc_id::VARCHAR')} AS document_id, doc_lang AS language, hash,
+       {o.uuid5('source')} AS source_id, 'source-' || source AS source_name, {_STAMPS},
        'lexicon' AS sentiment_model, 'patterns' AS ner_model, 'extractive' AS summary_model, status AS run_status,
-       CASE WHEN status = 'done' THEN sentiment_label END AS sentiment_label,
-       CASE WHEN status = 'done' THEN round(sentiment_score, 4) END AS sentiment_score, error AS error_message, ts AS started_at
+       CASE WHEN done THEN sentiment_label END AS sentiment_label,
+       CASE WHEN done THEN round(sentiment_score, 4) END AS sentiment_score,
+       CASE WHEN done THEN entities END AS entities, CASE WHEN done THEN summary END AS summary,
+       CASE WHEN done THEN processing_ms END::DOUBLE AS processing_ms,
+       coalesce(error, stage_error) AS error_message, ts AS started_at, ts + to_milliseconds(processing_ms) AS completed_at
 FROM runs""",
 )
 def lineage(spark, root):
     out = ln.lineage(tb.to_tables(stored(spark, _analysed(spark, root), "analysed")))
     return out.select(
-        "run_id", "document_id", "language", "source_name", "sentiment_model", "ner_model", "summary_model", "run_status",
-        "sentiment_label", F.round(F.col("sentiment_score").cast("double"), 4).alias("sentiment_score"), "error_message",
-        F.col("started_at").cast("timestamp_ntz").alias("started_at"),
+        "run_id", "document_id", "language", "hash", "source_id", "source_name", *[f"{t}_model_id" for t in ln.TASKS],
+        "trigger_type", "prompt_version", "prompt_hash", "service_git_sha", *[f"{t}_model" for t in ln.TASKS], "run_status",
+        "sentiment_label", F.round(F.col("sentiment_score").cast("double"), 4).alias("sentiment_score"),
+        _entity_string(F.col("entities")).alias("entities"), "summary", F.col("processing_ms").cast("double").alias("processing_ms"),
+        "error_message", F.col("started_at").cast("timestamp_ntz").alias("started_at"),
+        F.col("completed_at").cast("timestamp_ntz").alias("completed_at"),
     )
 
 
