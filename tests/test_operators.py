@@ -4,12 +4,15 @@ import datetime as dt
 import json
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from vocale.functions.analysis import NEGATIVE
 from vocale.functions.lexicon import lexicon_table
 from vocale.operators import batches, forecast, hourly, inference, matching, rolling, upserts
+from vocale.operators.calls import bounded_calls
+from vocale.operators.classifier import classify, train_classifier
 from vocale.operators.enrich import Scorers, enrich, validate_input
 from vocale.operators.entities import extract_entities, raw_entities
 from vocale.operators.sentiment import score_sentiment, to_public
@@ -323,6 +326,77 @@ def test_blocks_equal_a_plain_loop(spark):
         assert future[h] == (sum(neg[k] for k in range(h + 1, h + 25)) if h + 24 <= last else None)
 
 
+def test_entity_delta_of_every_hour_equals_a_plain_loop(spark):
+    import random
+
+    rnd = random.Random(5)
+    mentions = {(e, rnd.randint(0, 900) + 5000): rnd.randint(1, 9) for e in "abc" for _ in range(12)}
+    mentions[("d", 5000)] = 4
+    rows = [(e, "ORG", h, n) for (e, h), n in mentions.items()]
+    table = spark.createDataFrame(rows, "entity string, label string, h bigint, mentions bigint")
+    expected = {}
+    for h in range(5000, 6200):
+        for e in "abcd":
+            old = {k: n for (x, k), n in mentions.items() if x == e and h - 192 < k <= h}
+            if old:
+                delta = sum(n for k, n in old.items() if k > h - 24) - sum(n for k, n in old.items() if k <= h - 24) / 7
+                expected[h] = max(delta, expected.get(h, -1e9))
+    got = {r["h"]: r["delta"] for r in rolling.peak_delta(table).collect()}
+    assert got.keys() == expected.keys()
+    assert all(got[h] == pytest.approx(expected[h]) for h in got)
+    assert min(expected.values()) < 0
+    assert rolling.peak_delta(table.limit(0)).count() == 0
+
+
+def test_trained_sentiment_on_labels_it_was_not_fitted_on(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", F.col("text").alias("norm"))
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = train_classifier(docs, labels.filter("doc_id % 2 = 0"))
+    out = classify(model, docs).join(labels.filter("doc_id % 2 = 1"), "doc_id")
+    told = out.groupBy("toxic", "sentiment_label").count().collect()
+    n = {(r["toxic"], r["sentiment_label"]): r["count"] for r in told}
+    assert {label for _, label in n} <= {"Negative", "Neutral"}
+    caught = n.get((1, "Negative"), 0) / max(1, sum(v for (t, _), v in n.items() if t == 1))
+    wrong = n.get((0, "Negative"), 0) / max(1, sum(v for (t, _), v in n.items() if t == 0))
+    assert caught >= 0.7 and wrong <= 0.02
+    scores = out.groupBy("sentiment_label").agg(F.min("sentiment_score").alias("low"), F.max("sentiment_score").alias("high"))
+    for r in scores.collect():
+        assert -1 <= r["low"] <= r["high"] < 0 if r["sentiment_label"] == "Negative" else r["low"] == r["high"] == 0
+
+
+def test_calls_keep_their_window_order_and_deadline(spark):
+    import asyncio
+
+    open_calls = {"now": 0, "most": 0}
+
+    def make_client():
+        async def call(key, prompt):
+            open_calls["now"] += 1
+            open_calls["most"] = max(open_calls["most"], open_calls["now"])
+            try:
+                await asyncio.sleep(60 if key % 10 == 3 else 0.001)
+                if key % 10 == 7:
+                    raise ValueError("refused")
+                if key % 10 == 8:
+                    raise KeyError
+                return f"{key}:{prompt}"
+            finally:
+                open_calls["now"] -= 1
+
+        return call
+
+    frame = pd.DataFrame({"doc_id": range(40), "prompt": [f"p{k}" for k in range(40)]}, index=range(100, 140))
+    (got,) = bounded_calls(make_client, in_flight=4, deadline=0.2)(iter([frame]))
+    assert got["doc_id"].tolist() == list(range(40)) and open_calls["most"] == 4 and open_calls["now"] == 0
+    for k, answer, error in zip(got["doc_id"], got["raw_summary"], got["raw_error"]):
+        expected = {3: "summary_timeout", 7: "refused", 8: "KeyError"}.get(k % 10)
+        assert (answer, error) == ((None, expected) if expected else (f"{k}:p{k}", None))
+    empty = list(bounded_calls(make_client)(iter([frame.head(0)])))
+    assert len(empty[0]) == 0 and {"raw_summary", "raw_error"} <= set(empty[0].columns)
+    with pytest.raises(ValueError):
+        bounded_calls(make_client, in_flight=0)
+
+
 def test_folds_do_not_leak(spark):
     table = spark.range(0, 1000).select(
         F.col("id").alias("h"), (F.col("id") % 50).alias("future_negatives"), F.lit(1).alias("negative_volume_24h")

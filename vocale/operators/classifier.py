@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
+from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,22 +12,27 @@ from pyspark.sql import functions as F
 from vocale.operators.sentiment import to_public
 
 
-def train_classifier(docs: DataFrame, labels: DataFrame, text: str = "norm", features: int = 4096) -> PipelineModel:
-    """Fit on the labelled documents; a toxic document counts as negative.
+def train_classifier(docs: DataFrame, labels: DataFrame, text: str = "norm", features: int = 1 << 16) -> PipelineModel:
+    """Fit on the labelled documents; a toxic document counts as negative. Both classes have the same
+    weight, as few documents are toxic; the fit keeps few terms, as a long document has many more
+    words that say nothing than words that do.
 
-    Texts become term counts where they are read; the counts are joined with the labels and kept
-    for the passes over them.
+    Texts become sets of terms where they are read; these are joined with the labels and kept for
+    the passes over them.
     """
     words = Pipeline(stages=[
         RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}]+"),
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
+        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features, binary=True),
     ]).fit(docs)
     counted = words.transform(docs).select("doc_id", "_tf")
     training = counted.join(labels.select("doc_id", F.col("toxic").cast("double").alias("label")), "doc_id").persist()
+    sizes = training.agg(F.count_if(F.col("label") == 1).alias("positives"), F.count("label").alias("rows")).first()
+    share = min(max(sizes["positives"] / sizes["rows"], 1e-6), 1 - 1e-6) if sizes["rows"] else 0.5
+    weighed = training.withColumn("_weight", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
     model = Pipeline(stages=[
-        IDF(inputCol="_tf", outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol="label", maxIter=20, regParam=0.01),
-    ]).fit(training)
+        LogisticRegression(
+            featuresCol="_tf", labelCol="label", weightCol="_weight", maxIter=50, regParam=0.01, elasticNetParam=1.0),
+    ]).fit(weighed)
     training.unpersist()
     return PipelineModel(stages=[*words.stages, *model.stages])
 

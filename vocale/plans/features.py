@@ -174,7 +174,7 @@ def language_shift(spark, root):
     return rounded(show_hour(rolling.language_shift(stored(spark, counts, "languages"))), "shift")
 
 
-_DELTA = f"""{o.MENTIONS},
+DELTA = f"""{o.MENTIONS},
 delta AS (
   SELECT entity, label, hour, mentions,
          round((sum(mentions) OVER (PARTITION BY entity, label ORDER BY hour
@@ -184,14 +184,14 @@ delta AS (
   FROM mentions)"""
 
 
-@query("entity_frequency_delta", f"WITH {_DELTA} SELECT entity, label, hour, mentions, delta FROM delta")
+@query("entity_frequency_delta", f"WITH {DELTA} SELECT entity, label, hour, mentions, delta FROM delta")
 def entity_frequency_delta(spark, root):
     return rounded(show_hour(rolling.entity_delta(mentions_by_hour(spark, root))), "delta")
 
 
 @query(
     "top_rising_entities",
-    f"""WITH {_DELTA},
+    f"""WITH {DELTA},
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY hour ORDER BY delta DESC, entity, label)::INTEGER AS rank FROM delta)
 SELECT entity, label, hour, mentions, delta, rank FROM ranked WHERE rank <= 3""",

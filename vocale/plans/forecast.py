@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vocale.operators import forecast as fc
+from vocale.operators import scoring
 from vocale.operators.hourly import hourly_counts
 from vocale.operators.rolling import WINDOWS, entity_delta, threshold, top_rising
 from vocale.plans import oracle as o
-from vocale.plans.features import SHIFT, _FUTURE, _over, _sql_rate
+from vocale.plans.features import DELTA, SHIFT, _FUTURE, _over, _sql_rate
 from vocale.plans.inputs import as_double, dense_counts, hourly_feedback, mentions_by_hour, rounded, show_hour, stored
 from vocale.plans.registry import query
+from vocale.session import shared_dir
 
 # The sources and languages the model has features for; others share one column.
 SOURCES = tuple(f"src{i}" for i in range(20))
@@ -211,12 +213,44 @@ def feature_importance(spark, root):
     return fc.importance(spark, model, names)
 
 
+# Hours that the model learns from; it scores those after them.
+_LEARNED = 480
+
+
 @query("alerts")
 def alerts(spark, root):
-    table, names, model = _final_model(spark, root)
-    if model is None:
-        scored = table.select("h", F.lit(None).cast("double").alias("probability"))
-    else:
-        scored = fc.predict(model, table, names)
-    rising = top_rising(entity_delta(mentions_by_hour(spark, root)), k=3)
+    """Alerts of the hours after the first twenty days, by a model that was fitted on those days, stored
+    and loaded again. The newest hour waits."""
+    folder = shared_dir(spark, "forecast")
+    table = stored(spark, _table(spark, root), "training")
+    first, newest = table.agg(F.min("h"), F.max("h")).first()
+    if first is not None:
+        fit = scoring.fit_and_store(spark, folder, table, first + _LEARNED, SOURCES, LANGUAGES)
+        if fit is not None:
+            rising = top_rising(entity_delta(mentions_by_hour(spark, root)), k=3)
+            scoring.score_new(spark, folder, fit, table, rising, newest - 1)
+    return show_hour(scoring.stored_alerts(spark, folder))
+
+
+@query(
+    "alerts_by_rule",
+    f"""WITH {o.MENTIONS}{_FUTURE.removeprefix(o.SCORED).replace(o.ARRIVALS + ",", "", 1)},
+{DELTA.removeprefix(o.MENTIONS + ",")},
+limits AS (
+  SELECT avg(future_negatives) + 2 * stddev_samp(future_negatives) AS limit_value FROM future WHERE hour < {_CUT} - INTERVAL 24 HOUR),
+days AS (SELECT hour, sum(negatives) {_over(24)} AS n FROM hourly),
+ranked AS (SELECT hour, entity, row_number() OVER (PARTITION BY hour ORDER BY delta DESC, entity, label) AS rank FROM delta),
+reasons AS (SELECT hour, string_agg(entity, ', ' ORDER BY rank) AS reason FROM ranked WHERE rank <= 3 GROUP BY hour)
+SELECT hour, 1.0::DOUBLE AS probability, reason FROM days LEFT JOIN reasons USING (hour), limits
+WHERE hour >= {_CUT} AND n > limit_value""",
+)
+def alerts_by_rule(spark, root):
+    """Alerts of the same hours by a rule in place of the model: the last day was a spike by the
+    level of the first twenty days."""
+    hours = _future(spark, root)
+    cut = hours.agg(F.min("h")).scalar() + F.lit(_LEARNED)
+    level = threshold(hours, cutoff=cut - 24).select("threshold").scalar()
+    scored = hours.filter(F.col("h") >= cut).withColumn(
+        "probability", (F.col("negative_volume_24h") > level).cast("double"))
+    rising = top_rising(rounded(entity_delta(mentions_by_hour(spark, root)), "delta"), k=3)
     return show_hour(fc.alerts(scored, rising))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import asyncio
+import json
+
 from pyspark.sql import functions as F
 
 from vocale.functions import analysis as a
@@ -9,6 +12,7 @@ from vocale.functions import text as t
 from vocale.functions.ids import stable_uuid
 from vocale.operators import inference
 from vocale.operators.batches import assign_batches, batch_report
+from vocale.operators.calls import bounded_calls
 from vocale.operators.classifier import classify, train_classifier
 from vocale.operators.enrich import DEFAULT_MODELS, enrich, stamp_versions, validate_input
 from vocale.operators.entities import extract_entities, raw_entities
@@ -379,6 +383,40 @@ def conditional_summary(spark, root):
     return docs.select("doc_id", "sentiment_label", "summary", "summary_error")
 
 
+def _service():
+    """An outside service that never answers some documents, refuses some, and answers some with what
+    is no JSON."""
+    async def call(key, prompt):
+        if key % 50 == 3:
+            await asyncio.Event().wait()
+        if key % 20 == 7:
+            raise ValueError("refused")
+        if key % 30 == 11:
+            return "Non lo so"
+        return json.dumps({"summary": f"Documento {key}", "urgency": "media", "suggested_action": "Rispondere"})
+
+    return call
+
+
+@query(
+    "summary_calls",
+    f"""WITH {o.SCORED},
+answered AS (
+  SELECT doc_id, sentiment_label, CASE WHEN sentiment_label = 'Negative' THEN
+    CASE WHEN doc_id % 50 = 3 THEN 'summary_timeout' WHEN doc_id % 20 = 7 THEN 'refused'
+         WHEN doc_id % 30 = 11 THEN 'invalid_summary_json' END END AS summary_error
+  FROM scored)
+SELECT doc_id, sentiment_label, summary_error, CASE WHEN sentiment_label = 'Negative' AND summary_error IS NULL THEN
+  '{{"summary": "Documento ' || doc_id || '", "urgency": "media", "suggested_action": "Rispondere"}}' END AS summary
+FROM answered""",
+)
+def summary_calls(spark, root):
+    """Summaries of negative documents from a service: few calls in flight, each with a deadline."""
+    docs = extract_entities(score_sentiment(normalized(spark, root)))
+    out = summarize_negative(docs, bounded_calls(_service, in_flight=64, deadline=2.0))
+    return out.select("doc_id", "sentiment_label", "summary", "summary_error")
+
+
 @query(
     "enrich",
     f"""WITH {SUMMARIES},

@@ -5,7 +5,7 @@ stream    follow a folder of message files and store an epoch per micro-batch
 replay    run failed documents again, up to a number of tries
 delete    delete the runs that a parquet table (run_id) names, with their results
 compact   fold the marked epochs up to one into a base copy of each table
-forecast  read the stored history and write the alert table of the hours in it
+forecast  score the new hours of the stored history with the stored model (fitted by the first run)
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocale.operators import forecast as fc
+from vocale.operators import scoring
 from vocale.operators.rolling import entity_delta, top_rising
 from vocale.schemas import MESSAGE
 from vocale.sources.messages import read_messages, stream_messages
@@ -62,14 +63,17 @@ def most_frequent(counts: DataFrame, column: str, limit: int = 50) -> list[str]:
 
 def run_forecast(
     spark: SparkSession, root: str, out: str, sources: list[str] | None = None, languages: list[str] | None = None,
-    cut: float = 0.5,
+    cut: float = 0.5, hold: int = 120, refit: bool = False,
 ) -> bool:
-    """Write the alerts of the stored history; False when the history holds no spike to learn from.
-
-    The hours come from the table that the epochs keep, so neither runs nor texts are read. It and
-    the training table are written below ``out`` and read back: the model passes over one row per
-    hour. Sources and languages with
-    columns of their own are the most frequent ones of the history unless given.
+    """Score the hours of the stored history that no run has scored yet, and store their alerts below
+    ``out``; False when there is no model, as the history holds no spike to learn from.
+
+    The first run, and one with ``refit``, fits a model on the hours before the last ``hold`` ones and
+    stores it; later runs use the stored model with its features and cut. Hours that a model was
+    fitted on are never scored by it. The newest hour is still filling and waits. The hours come
+    from the table that the epochs keep, so neither runs nor texts are read. It and the training
+    table are written below ``out`` and read back: the model passes over one row per hour. Sources
+    and languages with columns of their own are the most frequent ones of the history unless given.
     """
     def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{out}/{name}")
@@ -77,14 +81,20 @@ def run_forecast(
 
     counts = stored(epochs.hourly_table(spark, root), "feedback_hourly_stats")
     mentions = stored(epochs.hourly_table(spark, root, "mention_part"), "entity_hourly")
+    newest = counts.agg(F.max("h")).first()[0]
+    if newest is None:
+        return False
+    fit = None if refit else scoring.latest_fit(spark, out)
+    if fit is not None:
+        sources, languages = fit["sources"], fit["languages"]
     sources = most_frequent(counts, "source") if sources is None else sources
     languages = most_frequent(counts, "lang") if languages is None else languages
     table = stored(fc.training_table(counts, mentions, sources, languages), "training_table")
-    model = fc.fit_history(table)
-    if model is None:
+    if fit is None:
+        fit = scoring.fit_and_store(spark, out, table, newest - hold, sources, languages, cut)
+    if fit is None:
         return False
-    scored = fc.predict(model, table, fc.feature_names(table))
-    fc.alerts(scored, top_rising(entity_delta(mentions)), cut).write.mode("overwrite").parquet(f"{out}/alerts")
+    scoring.score_new(spark, out, fit, table, top_rising(entity_delta(mentions)), newest - 1)
     return True
 
 
@@ -112,9 +122,11 @@ def main() -> None:
     ahead = jobs.add_parser("forecast")
     ahead.add_argument("root")
     ahead.add_argument("out")
-    ahead.add_argument("--sources", help="comma-separated; the most frequent ones of the history if left out")
+    ahead.add_argument("--sources", help="comma-separated; the 50 most frequent ones of the history if left out")
     ahead.add_argument("--languages", help="the same for languages")
     ahead.add_argument("--cut", type=float, default=0.5)
+    ahead.add_argument("--hold", type=int, default=120, help="newest hours that a fit leaves out, to be scored")
+    ahead.add_argument("--refit", action="store_true", help="fit a new model in place of using the stored one")
     for job in (one, follow, again):
         job.add_argument("--strict-errors", action="store_true", help="any stage error fails the document")
     a = parser.parse_args()
@@ -131,7 +143,8 @@ def main() -> None:
     elif a.job == "stream":
         run_stream(spark, a.path, a.root, a.checkpoint, a.max_files, strict_errors=a.strict_errors)
     elif not run_forecast(
-        spark, a.root, a.out, a.sources and a.sources.split(","), a.languages and a.languages.split(","), a.cut
+        spark, a.root, a.out, a.sources and a.sources.split(","), a.languages and a.languages.split(","), a.cut,
+        a.hold, a.refit,
     ):
         print("no spike in the history: no model, no alerts")
 
