@@ -127,6 +127,12 @@ def train(
     return model
 
 
+def lists(chunk) -> list[np.ndarray]:
+    """The lists of an Arrow column without nulls, as pieces of its one array of numbers."""
+    ends = chunk.offsets.to_numpy()
+    return np.split(chunk.flatten().to_numpy(), ends[1:-1] - ends[0]) if len(chunk) else []
+
+
 def numbered(terms: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """The places of ``ids`` in the sorted ``terms``; ids that are not there are left out."""
     at = np.searchsorted(terms, ids)
@@ -196,7 +202,7 @@ def fit_toxicity(
 
     def fit(columns: list) -> bytes:
         y = columns[0].to_numpy().astype(float)
-        ids = [np.array(x, dtype=np.int32) for x in columns[2].to_pylist()]
+        ids = [x for chunk in columns[2].chunks for x in lists(chunk)]
         paired = common[partners([numbered(common, x) for x in ids], y, max_pairs, 4 * min_docs)] if len(common) else common
         terms = np.union1d(alone, paired)
         if not len(terms):
