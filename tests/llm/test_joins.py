@@ -6,7 +6,7 @@ from helpers import EDGE, WORD, edge, empty, frame
 
 from vocale.llm.common import connected_components
 from vocale.llm.grid_join import near_duplicates
-from vocale.llm.jaccard_join import bitmaps, linked, shared_tokens, shingle_sets, similar_documents
+from vocale.llm.jaccard_join import bitmaps, linked, loosened, shared_tokens, shingle_sets, similar_documents, tiles
 
 
 def union(nodes, links):
@@ -79,6 +79,41 @@ def test_documents(spark, seed, how):
     rows = copies(seed)
     assert made(frame(spark, rows), **how) == brute(rows)
 
+def test_chain_is_taken_apart(spark):
+    """Sets that hang together by rare shingles only: each is dealt to a few small tiles, however
+    long the chain; copies in blocks would grow with its length."""
+    chain = [(k, 10, k) for k in range(3000)]
+    members = spark.createDataFrame([(0, 1, n, s) for s, n, _ in chain], "kind int, group long, n long, sid long")
+    rare = spark.createDataFrame([(s, t) for s, _, t in chain] + [(s + 1, t) for s, _, t in chain[:-1]], "sid long, token long")
+    weight = 100 * 510
+    for limit in (0, 1_000_000):
+        apart = loosened(members, rare, weight, limit)
+        cells = tiles(apart, weight, limit).collect()
+        assert len(cells) == 2 * 2999 and not any(r["two"] for r in cells)
+        by = {}
+        for r in cells:
+            by.setdefault(r["cell"], set()).add(r["sid"])
+        assert {(min(x), max(x)) for x in by.values()} == {(k, k + 1) for k in range(2999)}
+        # One shingle that all share: blocks, and every pair of sets meets in one tile.
+        hub = rare.selectExpr("sid", "7L as token").distinct()
+        whole = tiles(loosened(members, hub, weight, limit), weight, limit).collect()
+        by = {}
+        for r in whole:
+            by.setdefault(r["cell"], []).append(r["side"])
+        pairs = sum(x.count(0) * x.count(1) if 1 in x else len(x) * (len(x) - 1) // 2 for x in by.values())
+        assert pairs == 3000 * 2999 // 2 and max(map(len, by.values())) < 400
+
+
+def test_documents_in_a_chain(spark):
+    """Documents that overlap the next one by a half, with a copy here and there."""
+    rows, words_of = [], [f"w{k}" for k in range(4000)]
+    for k in range(90):
+        text = words_of[k * 40 : k * 40 + 80]
+        rows.append((2 * k, " ".join(text), "en", "s"))
+        if k % 3 == 0:
+            rows.append((2 * k + 1, " ".join([*text[:-2], "x", "y"]), "en", "s"))
+    assert made(frame(spark, rows), weight=4000) == brute(rows)
+
 
 def test_document_edges(spark):
     assert made(edge(spark)) == brute(EDGE)

@@ -219,43 +219,78 @@ def prefixes(sets: DataFrame, shared: DataFrame, limit: int) -> DataFrame:
 SET_WEIGHT = 500
 
 
-def tiles(members: DataFrame, weight: int) -> DataFrame:
-    """(cell, n, sid, shingles): the sets of a candidate group, dealt to tiles.
+GROUP = ["kind", "group"]
+
+
+def heavy(members: DataFrame, weight: int, rows_limit: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of groups that weigh up to ``weight``, rows of larger ones with the group's ``total``).
+    Larger groups are few, as each has that weight: they are broadcast up to ``rows_limit``."""
+    totals = members.groupBy(*GROUP).agg(F.sum(F.col("n") + SET_WEIGHT).alias("total")).filter(F.col("total") > weight)
+    totals = broadcast_if(saved(totals, "large-groups"), rows_limit)
+    marked = members.join(totals, GROUP, "left")
+    return marked.filter("total IS NULL").drop("total"), marked.filter("total IS NOT NULL")
+
+
+def loosened(members: DataFrame, rare: DataFrame, weight: int, rows_limit: int) -> DataFrame:
+    """``members`` (kind, group, n, sid), with large groups that are chains rather than copies taken
+    apart: linked sets have a rare shingle of both in common, so each such shingle is a group
+    (kind 1) of the sets that have it. That is done where it makes fewer copies of the sets than
+    blocks would, which grow with the square of the group."""
+    small, large = heavy(members, weight, rows_limit)
+    large = saved(large, "large-members")
+    if not large.count():
+        return members
+    posts = saved(large.join(rare, "sid"), "postings")
+    lists = posts.groupBy(*GROUP, "token").agg(F.sum(F.col("n") + SET_WEIGHT).alias("w"), F.count(F.lit(1)).alias("k"))
+    lists = saved(lists.filter("k > 1"), "posting-lists")
+    cost = lists.groupBy(*GROUP).agg(F.sum(F.col("w") * F.ceil(F.col("w") / weight)).alias("cost"))
+    totals = large.select(*GROUP, "total").distinct()
+    chains = totals.join(cost, GROUP, "left").filter(F.coalesce("cost", F.lit(0)) < F.col("total") * F.ceil(F.col("total") / weight))
+    chains = broadcast_if(saved(chains.select(*GROUP), "chains"), rows_limit)
+    apart = posts.join(chains, GROUP, "left_semi").join(lists.select(*GROUP, "token"), [*GROUP, "token"], "left_semi")
+    whole = large.join(chains, GROUP, "left_anti").drop("total")
+    return small.select(*GROUP, "n", "sid").unionByName(whole.select(*GROUP, "n", "sid")).unionByName(
+        apart.select(F.lit(1).alias("kind"), F.col("token").alias("group"), "n", "sid"))
+
+
+def tiles(members: DataFrame, weight: int, rows_limit: int) -> DataFrame:
+    """(cell, two, side, sid): the sets of groups (kind, group, n, sid), dealt to tiles.
 
     A set weighs its shingles and ``SET_WEIGHT`` more. A group of up to ``weight`` is one tile. A
     larger one is cut into bands of sizes, each 4/3 times the one before, and bands into blocks of
     about ``weight``, which is 4,000 sets at most for 2,000,000; a tile is a
     pair of blocks of the same or of neighbouring bands, as sets that link differ in size by no
     more than that. Members of a tile know their block, so that a pair is looked at in one tile.
+    Only ids and sizes are dealt; shingles join their cells afterwards.
     """
-    total = members.groupBy("group").agg(F.sum(F.col("n") + SET_WEIGHT).alias("total"))
-    members = members.join(total, "group").withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(4.0 / 3)) + 1e-9))
-    small = members.filter(F.col("total") <= weight).select(
-        F.struct("group", F.lit(0).cast("long").alias("b"), F.lit(0).alias("i"), F.lit(0).alias("up"), F.lit(0).alias("j")).alias("cell"),
-        F.lit(0).alias("side"), "n", "sid", "shingles")
-    large = members.filter(F.col("total") > weight)
-    blocks = large.groupBy("group", "band").agg(F.ceil(F.sum(F.col("n") + SET_WEIGHT) / weight).cast("int").alias("k"))
-    above = blocks.select("group", (F.col("band") - 1).alias("band"), F.col("k").alias("k_up"))
-    below = blocks.select("group", (F.col("band") + 1).alias("band"), F.col("k").alias("k_down"))
-    counted = blocks.join(above, ["group", "band"], "left").join(below, ["group", "band"], "left")
-    placed = large.join(counted, ["group", "band"]).withColumn("i", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int"))
+    small, large = heavy(members, weight, rows_limit)
+    alone = small.select(
+        F.struct(*GROUP, F.lit(0).cast("long").alias("b"), F.lit(0).alias("i"), F.lit(0).alias("up"), F.lit(0).alias("j")).alias("cell"),
+        F.lit(0).alias("side"), "sid")
+    large = large.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(4.0 / 3)) + 1e-9))
+    band = [*GROUP, "band"]
+    blocks = saved(large.groupBy(*band).agg(F.ceil(F.sum(F.col("n") + SET_WEIGHT) / weight).cast("int").alias("k")), "blocks")
+    above = blocks.select(*GROUP, (F.col("band") - 1).alias("band"), F.col("k").alias("k_up"))
+    below = blocks.select(*GROUP, (F.col("band") + 1).alias("band"), F.col("k").alias("k_down"))
+    counted = blocks.join(above, band, "left").join(below, band, "left")
+    placed = large.join(broadcast_if(counted, rows_limit), band).withColumn("i", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int"))
 
     def upto(k):
         return F.sequence(F.lit(0), F.greatest(F.coalesce(F.col(k), F.lit(0)), F.lit(1)) - 1)
 
+    def cell(b, i, up, j):
+        return F.struct(*GROUP, b.alias("b"), i.alias("i"), F.lit(up).alias("up"), j.alias("j")).alias("cell")
+
     own = F.transform(upto("k"), lambda j: F.struct(
-        F.struct(F.col("group"), F.col("band").alias("b"), F.least("i", j).alias("i"), F.lit(0).alias("up"), F.greatest("i", j).alias("j")).alias("cell"),
-        F.when(F.col("i") <= j, 0).otherwise(1).alias("side")))
+        cell(F.col("band"), F.least("i", j), 0, F.greatest("i", j)), F.when(F.col("i") <= j, 0).otherwise(1).alias("side")))
     up = F.when(F.col("k_up") > 0, F.transform(upto("k_up"), lambda j: F.struct(
-        F.struct(F.col("group"), F.col("band").alias("b"), F.col("i"), F.lit(1).alias("up"), j.alias("j")).alias("cell"),
-        F.lit(0).alias("side")))).otherwise(F.array())
+        cell(F.col("band"), F.col("i"), 1, j), F.lit(0).alias("side")))).otherwise(F.array())
     down = F.when(F.col("k_down") > 0, F.transform(upto("k_down"), lambda j: F.struct(
-        F.struct(F.col("group"), (F.col("band") - 1).alias("b"), j.alias("i"), F.lit(1).alias("up"), F.col("i").alias("j")).alias("cell"),
-        F.lit(1).alias("side")))).otherwise(F.array())
-    dealt = placed.select("n", "sid", "shingles", F.explode(F.concat(own, up, down)).alias("x"))
-    return small.union(dealt.select("x.cell", "x.side", "n", "sid", "shingles")).select(
-        F.xxhash64("cell.group", "cell.b", "cell.i", "cell.up", "cell.j").alias("cell"), 
-        ((F.col("cell.up") == 1) | (F.col("cell.i") != F.col("cell.j"))).alias("two"), "side", "n", "sid", "shingles")
+        cell(F.col("band") - 1, j, 1, F.col("i")), F.lit(1).alias("side")))).otherwise(F.array())
+    dealt = placed.select("sid", F.explode(F.concat(own, up, down)).alias("x")).select("x.cell", "x.side", "sid")
+    return alone.union(dealt).select(
+        F.xxhash64("cell.kind", "cell.group", "cell.b", "cell.i", "cell.up", "cell.j").alias("cell"),
+        ((F.col("cell.up") == 1) | (F.col("cell.i") != F.col("cell.j"))).alias("two"), "side", "sid")
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -341,8 +376,9 @@ def tile_links(cells: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def full_sets(docs: DataFrame, members: DataFrame, rows_limit: int) -> DataFrame:
-    """(sid, n, group, shingles) of the candidate sets, read again from one document of each."""
+def full_sets(docs: DataFrame, members: DataFrame, cells: DataFrame, rows_limit: int) -> DataFrame:
+    """(cell, two, side, n, sid, shingles) of the candidate sets, read again from one document of
+    each. The cells of a set wait for it in one row, so that its shingles are shuffled once."""
     wanted = members.select("doc_id")
     texts = docs.join(broadcast_if(wanted, rows_limit), "doc_id", "left_semi")
 
@@ -357,7 +393,9 @@ def full_sets(docs: DataFrame, members: DataFrame, rows_limit: int) -> DataFrame
                     [pa.array([set_name(s) for s in sets], pa.int64()), lists], names=["sid", "shingles"])
 
     found = texts.mapInArrow(run, "sid long, shingles array<long>")
-    return members.select("sid", "n", "group").join(found, "sid")
+    places = cells.groupBy("sid").agg(F.collect_list(F.struct("cell", "two", "side")).alias("places"))
+    return found.join(places, "sid").select("sid", "shingles", F.explode("places").alias("x")).select(
+        "x.cell", "x.two", "x.side", F.size("shingles").alias("n"), "sid", "shingles")
 
 
 def similar_documents(
@@ -372,9 +410,10 @@ def similar_documents(
     2. Shingles are counted over all sets. By the prefix filter, linked sets share one of the
        rarest quarter of their shingles; sets whose quarter is their own alone are done.
     3. Sets that share a rare shingle form candidate groups (connected components).
-    4. The groups' sets are read again from the text, in full, and dealt to size-banded tiles of
-       about ``weight`` shingles. In a tile bit counts of hashed bitmaps bound the overlap from
-       above, and what passes is intersected exactly. Each tile gives a spanning forest.
+    4. Groups are dealt to size-banded tiles of about ``weight`` shingles; a large group that is a
+       chain is taken apart by shared rare shingle first. The sets are read again from the text, in
+       full. In a tile bit counts of hashed bitmaps bound the overlap from above, and what passes
+       is intersected exactly. Each tile gives a spanning forest.
     5. Components of these links are the classes; their smallest ids name them.
 
     The result is exact but for collisions of 63-bit hashes. Frequent shingles (in more than
@@ -397,7 +436,9 @@ def similar_documents(
         F.col("sid").alias("u"), F.col("leader").alias("v")).filter("u != v").distinct(), "groups")
     first = named_sets.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     members = saved(first.join(groups.withColumnRenamed("node", "sid"), "sid").withColumnRenamed("component", "group"), "members")
-    links = tile_links(tiles(full_sets(plain, members, rows_limit), weight))
+    grouped = members.select(F.lit(0).alias("kind"), "group", "n", "sid")
+    cells = saved(tiles(loosened(grouped, rare, weight, rows_limit), weight, rows_limit), "cells")
+    links = tile_links(full_sets(plain, members, cells, rows_limit))
     same_id = named_sets.groupBy("doc_id").agg(F.min("sid").alias("v"), F.count_distinct("sid").alias("k")).filter("k > 1")
     same_id = named_sets.join(same_id, "doc_id").filter("sid != v").select(F.col("sid").alias("u"), "v")
     classes = connected_components(links.union(same_id), "links")
