@@ -378,23 +378,27 @@ def tile_links(cells: DataFrame) -> DataFrame:
 
 def full_sets(docs: DataFrame, members: DataFrame, cells: DataFrame, rows_limit: int) -> DataFrame:
     """(cell, two, side, n, sid, shingles) of the candidate sets, read again from one document of
-    each. The cells of a set wait for it in one row, so that its shingles are shuffled once."""
-    wanted = members.select("doc_id")
-    texts = docs.join(broadcast_if(wanted, rows_limit), "doc_id", "left_semi")
+    each. The cells of a set go to its document, by broadcast if there are ``rows_limit`` at most,
+    so shingles are shuffled once, to their cells."""
+    places = cells.groupBy("sid").agg(F.collect_list(F.struct("cell", "two", "side")).alias("places"))
+    places = saved(members.select("doc_id", F.col("sid").alias("wanted")).join(places, F.col("wanted") == F.col("sid")).drop("sid"), "places")
+    texts = docs.join(F.broadcast(places) if cells.count() <= rows_limit else places, "doc_id").select("text", "wanted", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(0).to_pylist()
             for a, b in parts(texts, 400_000):
                 sets = shingle_sets(texts[a:b])
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([set_name(s) for s in sets], pa.int64()), lists], names=["sid", "shingles"])
+                    [pa.array([set_name(s) for s in sets], pa.int64()), lists, *(batch.column(i).slice(a, b - a) for i in (1, 2))],
+                    names=["sid", "shingles", "wanted", "places"])
 
-    found = texts.mapInArrow(run, "sid long, shingles array<long>")
-    places = cells.groupBy("sid").agg(F.collect_list(F.struct("cell", "two", "side")).alias("places"))
-    return found.join(places, "sid").select("sid", "shingles", F.explode("places").alias("x")).select(
+    found = texts.mapInArrow(
+        run, "sid long, shingles array<long>, wanted long, places array<struct<cell:long,two:boolean,side:int>>")
+    # Another text under the same id is not the one that was meant.
+    return found.filter("sid = wanted").select("sid", "shingles", F.explode("places").alias("x")).select(
         "x.cell", "x.two", "x.side", F.size("shingles").alias("n"), "sid", "shingles")
 
 
