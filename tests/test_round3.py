@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 
 from oracle_check import connect, differences
+from vocale.operators import inference
 from vocale.plans import ORACLES, QUERIES
 
 HOUR = dt.datetime(2024, 1, 1, 5, 30)
@@ -31,3 +32,25 @@ def test_urgency_counts_negative_documents_without_a_short_sentence(spark, root)
     ours = QUERIES["urgency_mix"](spark, root).toPandas()
     assert differences(ours, connect(root).execute(ORACLES["urgency_mix"]).df()) == []
     assert dict(ours.groupby("urgency")["total"].sum()) == {"media": 2, "alta": 2, "critica": 2}
+
+
+def test_texts_without_an_address_are_not_searched_for_one(monkeypatch):
+    import regex
+
+    tried = []
+    compiled = regex.compile
+
+    class Watched:
+        def __init__(self, pattern):
+            self.pattern, self.inner = pattern, compiled(pattern)
+
+        def finditer(self, text):
+            tried.append(("@" in self.pattern, text))
+            return self.inner.finditer(text)
+
+    monkeypatch.setattr(regex, "compile", Watched)
+    texts = ["x Acme Corp +1 (555) 123-4567 10.0.0.1 Rossi", "to a.b@c.org Acme", "\u00c9cole 1.2.3.4.5 +39 (1) x"]
+    out = inference.pattern_extractor()(texts)
+    assert tried == [("@" in t, t) for t in texts]
+    assert [[e["text"] for e in row] for row in out] == [
+        ["Acme Corp", "+1 (555) 123-4567", "10.0.0.1", "Rossi"], ["a.b@c.org", "Acme"], ["\u00c9cole", "1.2.3.4"]]

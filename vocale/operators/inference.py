@@ -192,6 +192,8 @@ def pattern_extractor() -> Scorer:
 
     # The module has no mark for the end of the last match, but tells where a run begins.
     found = regex.compile("|".join((EMAIL.replace(RUN_START, ""), PHONE, IP, NAME)))
+    # Without an '@' there is no address: only the places where another match can begin are tried.
+    no_email = regex.compile(rf"(?=[+0-9\p{{Lu}}])(?:{'|'.join((PHONE, IP, NAME))})")
     organisations, places = frozenset(ORGANISATIONS), frozenset(PLACES)
 
     def label_of(match: str) -> str:
@@ -208,7 +210,7 @@ def pattern_extractor() -> Scorer:
         out = []
         for text in texts:
             rows = []
-            for m in found.finditer(text):
+            for m in (found if "@" in text else no_email).finditer(text):
                 label = label_of(m.group())
                 score = WEAK_SCORE if label == "MISC" and " " not in m.group() else SCORES[label]
                 rows.append({"text": m.group(), "label": label, "start": m.start(), "end": m.end(), "score": score})
