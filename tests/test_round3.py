@@ -54,3 +54,22 @@ def test_texts_without_an_address_are_not_searched_for_one(monkeypatch):
     assert tried == [("@" in t, t) for t in texts]
     assert [[e["text"] for e in row] for row in out] == [
         ["Acme Corp", "+1 (555) 123-4567", "10.0.0.1", "Rossi"], ["a.b@c.org", "Acme"], ["\u00c9cole", "1.2.3.4"]]
+
+
+def test_one_large_row_group_is_dealt_over_the_cores(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from vocale.sources.feed import spread
+
+    spark.range(50_000).coalesce(1).write.parquet(str(tmp_path / "rows"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        df = spark.read.parquet(str(tmp_path / "rows"))
+        cores = spark.sparkContext.defaultParallelism
+        assert df.rdd.getNumPartitions() >= cores
+        assert spread(df, "id").select(F.spark_partition_id().alias("p")).distinct().count() >= cores
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
