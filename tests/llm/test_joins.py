@@ -6,7 +6,10 @@ from helpers import EDGE, WORD, edge, empty, frame
 
 from vocale.llm.common import connected_components
 from vocale.llm.grid_join import near_duplicates
-from vocale.llm.jaccard_join import bitmaps, linked, loosened, shared_tokens, shingle_sets, similar_documents, tiles
+from vocale.llm import jaccard_join
+from vocale.llm.jaccard_join import (
+    alike, bitmaps, linked, loosened, shared_tokens, shingle_sets, signatures, similar_documents, tiles,
+)
 
 
 def union(nodes, links):
@@ -115,6 +118,40 @@ def test_documents_in_a_chain(spark):
     assert made(frame(spark, rows), weight=4000) == brute(rows)
 
 
+def test_signatures_miss_no_link():
+    """Sets around powers of two, whose signatures differ in length, edited by up to a fourth."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (1, 2, 5, 120, 130, 250, 260, 500, 530, 1100):
+        base = rng.choice(1 << 62, n, replace=False)
+        for _ in range(8):
+            drop = int(n * rng.uniform(0, 0.2))
+            new = rng.choice(1 << 62, int(n * rng.uniform(0, 0.12)), replace=False)
+            sets.append(np.unique(np.concatenate([rng.permutation(base)[drop:], new])))
+    sets = sorted(sets, key=len)
+    signs, sizes = signatures(sets), [len(s) for s in sets]
+    assert signatures([s[:0] for s in sets[:2]]) == [b"", b""] and signatures([]) == []
+    assert {len(s) for s in signs} == {16, 32, 64, 128, 256}
+    for side in (None, rng.integers(0, 2, len(sets))):
+        maybe, sure = (union(range(len(sets)), x) for x in (alike(signs, sizes, side), linked(sets, side)))
+        assert all(maybe[i] == maybe[k] for i, k in sure.items())
+        assert len(set(maybe.values())) >= (10 if side is None else 8)
+
+
+def test_quoted_passages_ship_no_sets(spark, monkeypatch):
+    """Texts chained by passages that they quote, none alike: their shingles go to no tile."""
+    dealt = []
+    inner = jaccard_join.full_sets
+    monkeypatch.setattr(jaccard_join, "full_sets", lambda docs, members, cells, limit: dealt.append(cells.count()) or inner(docs, members, cells, limit))
+    rng = np.random.default_rng(6)
+    passages = [" ".join(f"p{k}x{i}" for i in range(12)) for k in range(6)]
+    rows = [(d, " ".join([*(passages[int(k)] for k in rng.choice(6, 2, replace=False)), *(f"d{d}x{i}" for i in range(60))]), "en", "s")
+            for d in range(150)]
+    rows += [(150, rows[3][1] + " end", "en", "s")]
+    assert made(frame(spark, rows), weight=4000) == brute(rows)
+    assert dealt == [2]
+
+
 def test_document_edges(spark):
     assert made(edge(spark)) == brute(EDGE)
     assert made(empty(spark)) == []

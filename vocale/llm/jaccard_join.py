@@ -84,26 +84,42 @@ def prefix_size(n):
     return n - (NEED[1] * n + NEED[0] - 1) // NEED[0] + 1
 
 
+def signatures(sets: list[np.ndarray]) -> list[bytes]:
+    """A bitmap per set as in ``bitmaps``, with a bit per shingle or up to two (a power of two, 128
+    at least), so that sets of any size can be told apart. A longer bitmap folds to a shorter one:
+    its halves, one over the other."""
+    if not sets:
+        return []
+    sizes = np.array([len(s) for s in sets])
+    bits = np.array([max(128, 1 << (int(n) - 1).bit_length()) if n else 0 for n in sizes], dtype=np.int64)
+    ends = np.cumsum(bits)
+    place = (mixed(np.concatenate(sets).astype(np.uint64)) & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(place + np.repeat(ends - bits, sizes), minlength=int(ends[-1])) & 1
+    packed = np.packbits(odd.astype(np.uint8)).tobytes()
+    return [packed[(e - b) // 8 : e // 8] for b, e in zip(bits, ends)]
+
+
 SET = T.StructType([
     T.StructField("n", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("m", T.LongType()),
-    T.StructField("tokens", T.ArrayType(T.LongType())),
+    T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("sign", T.BinaryType()),
 ])
 
 
 def describe(docs: DataFrame, limit: int) -> DataFrame:
-    """(doc_id, n, sid, m, tokens) per row: the set's size and name, and its lowest shingles, all
-    ``m`` below ``limit`` and more if the prefix needs them. A task gives the shingles of a set
-    once (it remembers the last 100,000 sets), so copies do not repeat them."""
+    """(doc_id, n, sid, m, tokens, sign) per row: the set's size and name, its lowest shingles, all
+    ``m`` below ``limit`` and more if the prefix needs them, and its signature. A task gives the
+    shingles and the signature of a set once (it remembers the last 100,000 sets), so copies do not
+    repeat them."""
     key = docs.schema["doc_id"]
     names = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("m", pa.int64()),
-                       ("tokens", pa.list_(pa.int64()))])
+                       ("tokens", pa.list_(pa.int64())), ("sign", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in parts(texts, 400_000):
-                sizes, sids, below, chosen = [], [], [], []
+                sizes, sids, below, chosen, whole = [], [], [], [], []
                 for row_id, s in zip(ids[a:b], shingle_sets(texts[a:b])):
                     sid, m = set_name(s), int(np.searchsorted(s, limit))
                     sizes.append(len(s))
@@ -111,6 +127,7 @@ def describe(docs: DataFrame, limit: int) -> DataFrame:
                     below.append(m)
                     new = len(s) and row_id is not None and sid not in seen
                     chosen.append(s[: max(m, prefix_size(len(s)))] if new else s[:0])
+                    whole.append(s if new else s[:0])
                     if new:
                         if len(seen) >= 100_000:
                             seen.clear()
@@ -119,7 +136,7 @@ def describe(docs: DataFrame, limit: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(chosen)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[a:b], pa.int64()), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()),
-                     pa.array(below, pa.int64()), lists], schema=names)
+                     pa.array(below, pa.int64()), lists, pa.array(signatures(whole), pa.binary())], schema=names)
 
     return docs.mapInArrow(run, T.StructType([key, *SET.fields]))
 
@@ -342,40 +359,91 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple
     return found
 
 
-def tile_links(cells: DataFrame) -> DataFrame:
-    """(u, v): links that connect, tile by tile, all that the tile's links connect."""
+def alike(signs: list[bytes], sizes: list[int], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """As ``linked``, of the pairs that may be links by the bit counts of their signatures: whatever
+    is linked is connected here too. Sets that link differ in size by a third at most, so their
+    bitmaps are equally long or one is twice the other."""
+    sizes = np.array(sizes)
+    words = np.array([len(s) // 8 for s in signs])
+    own, half = {}, {}
+    starts = {int(w): int(np.searchsorted(words, w)) for w in np.unique(words)}
+    for w in starts:
+        own[w] = np.frombuffer(b"".join(s for s in signs if len(s) == 8 * w), dtype=np.uint64).reshape(-1, w)
+        half[w // 2] = own[w][:, : w // 2] ^ own[w][:, w // 2 :]
+    root = np.arange(len(signs))
+    found = []
+    last = np.searchsorted(sizes, sizes * NEED[0] // NEED[1], side="right")
+    for i in range(len(signs)):
+        j = np.arange(i + 1, last[i])
+        j = j[root[j] != root[i]]
+        if side is not None:
+            j = j[side[j] != side[i]]
+        if not len(j):
+            continue
+        w = int(words[i])
+        mine = own[w][i - starts[w]]
+        same = j[words[j] == w]
+        rows = [own[w][same - starts[w]]]
+        if len(same) < len(j):
+            rows.append(half[w][j[len(same) :] - starts[2 * w]])
+        differ = np.concatenate([np.bitwise_count(r ^ mine).sum(axis=1, dtype=np.int64) for r in rows])
+        both = sizes[j] + sizes[i]
+        for k in j[(NEED[0] + NEED[1]) * (both - differ) >= 2 * NEED[1] * both]:
+            if root[k] != root[i]:
+                found.append((i, int(k)))
+                root[root == root[k]] = root[i]
+    return found
+
+
+def tile_links(cells: DataFrame, signed: bool = False) -> DataFrame:
+    """(u, v): links that connect, tile by tile, all that the tile's links connect; with ``signed``,
+    pairs that may be links, from the signatures that ``cells`` then has in place of the shingles."""
     dealt = cells.repartition("cell").sortWithinPartitions("cell", "n", "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, two, side, sids, sets = None, False, [], [], []
+        cell, two, side, sids, sizes, sets = None, False, [], [], [], []
 
         def flush():
             if len(sids) < 2:
                 return None
-            pairs = linked(sets, np.array(side) if two else None)
+            sides = np.array(side) if two else None
+            pairs = alike(sets, sizes, sides) if signed else linked(sets, sides)
             return pa.RecordBatch.from_pydict({"u": pa.array([sids[i] for i, _ in pairs], pa.int64()),
                                                "v": pa.array([sids[k] for _, k in pairs], pa.int64())})
 
         for batch in batches:
-            keys, twos, sides, names = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
+            keys, twos, sides, ns, names = (batch.column(i).to_pylist() for i in range(5))
             lists = batch.column(5)
-            values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(zero_copy_only=False)
+            if signed:
+                given = lists.to_pylist()
+            else:
+                values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(zero_copy_only=False)
             for r, key in enumerate(keys):
                 if key != cell:
                     if (made := flush()) is not None and made.num_rows:
                         yield made
-                    cell, two, side, sids, sets = key, twos[r], [], [], []
+                    cell, two, side, sids, sizes, sets = key, twos[r], [], [], [], []
                 if sids and sids[-1] == names[r]:
                     continue
                 side.append(sides[r])
                 sids.append(names[r])
-                sets.append(values[ends[r] : ends[r + 1]].copy())
+                sizes.append(ns[r])
+                sets.append(given[r] if signed else values[ends[r] : ends[r + 1]].copy())
         if (made := flush()) is not None and made.num_rows:
             yield made
 
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def alike_groups(listed: DataFrame, members: DataFrame, cells: DataFrame, rows_limit: int) -> DataFrame:
+    """(node, component) of the sets in ``cells`` that may link with another by their signatures. A
+    signature is about a fiftieth of its set, so a set may go to many cells."""
+    wanted = broadcast_if(members.select("sid"), rows_limit)
+    signs = listed.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("sign").alias("sign"))
+    signed = cells.join(signs, "sid").select("cell", "two", "side", "n", "sid", "sign")
+    return connected_components(tile_links(signed, signed=True), "alike")
+
+
 def full_sets(docs: DataFrame, members: DataFrame, cells: DataFrame, rows_limit: int) -> DataFrame:
     """(cell, two, side, n, sid, shingles) of the candidate sets, read again from one document of
     each. The cells of a set go to its document, by broadcast if there are ``rows_limit`` at most,
@@ -415,10 +483,14 @@ def similar_documents(
        rarest quarter of their shingles; sets whose quarter is their own alone are done.
     3. Sets that share a rare shingle form candidate groups (connected components).
     4. Groups are dealt to size-banded tiles of about ``weight`` shingles; a large group that is a
-       chain is taken apart by shared rare shingle first. The sets are read again from the text, in
-       full. In a tile bit counts of hashed bitmaps bound the overlap from above, and what passes
-       is intersected exactly. Each tile gives a spanning forest.
-    5. Components of these links are the classes; their smallest ids name them.
+       chain is taken apart by shared rare shingle first. In a tile the signatures of the sets, a
+       bit or two per shingle, bound the overlap from above; sets that may link form new groups, and
+       those that may link with no other are done. So passages that many texts quote, which chain
+       most of a large corpus into one group, cost signatures and not sets.
+    5. The new groups are dealt to tiles in the same way. Their sets are read again from the text,
+       in full; bit counts rule out most pairs and the others are intersected exactly. Each tile
+       gives a spanning forest.
+    6. Components of these links are the classes; their smallest ids name them.
 
     The result is exact but for collisions of 63-bit hashes. Frequent shingles (in more than
     about ``frequent_share`` of the sets) are recognised first and never sorted in one task.
@@ -440,9 +512,14 @@ def similar_documents(
         F.col("sid").alias("u"), F.col("leader").alias("v")).filter("u != v").distinct(), "groups")
     first = named_sets.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     members = saved(first.join(groups.withColumnRenamed("node", "sid"), "sid").withColumnRenamed("component", "group"), "members")
-    grouped = members.select(F.lit(0).alias("kind"), "group", "n", "sid")
-    cells = saved(tiles(loosened(grouped, rare, weight, rows_limit), weight, rows_limit), "cells")
-    links = tile_links(full_sets(plain, members, cells, rows_limit))
+
+    def dealt(some: DataFrame) -> DataFrame:
+        grouped = some.select(F.lit(0).alias("kind"), "group", "n", "sid")
+        return saved(tiles(loosened(grouped, rare, weight, rows_limit), weight, rows_limit), "cells")
+
+    closer = alike_groups(listed, members, dealt(members), rows_limit)
+    members = saved(members.drop("group").join(closer.withColumnRenamed("node", "sid"), "sid").withColumnRenamed("component", "group"), "members")
+    links = tile_links(full_sets(plain, members, dealt(members), rows_limit))
     same_id = named_sets.groupBy("doc_id").agg(F.min("sid").alias("v"), F.count_distinct("sid").alias("k")).filter("k > 1")
     same_id = named_sets.join(same_id, "doc_id").filter("sid != v").select(F.col("sid").alias("u"), "v")
     classes = connected_components(links.union(same_id), "links")
