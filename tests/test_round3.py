@@ -73,3 +73,27 @@ def test_one_large_row_group_is_dealt_over_the_cores(spark, tmp_path):
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
+
+
+def test_lineage_deals_no_runs_by_source(spark):
+    """Runs have very many rows of few sources: the plan shuffles them by document and run only, and
+    what is the same for all runs is not grouped with them."""
+    from vocale.operators import lineage as ln
+    from vocale.operators.tables import to_tables
+
+    batch = spark.createDataFrame(
+        [("1", "web", "en", None, "done", None, "Positive", 0.5, [], None, 1, HOUR, HOUR, 5, 7),
+         ("1", "web", "en", None, "failed", "x", None, None, None, None, 2, HOUR, HOUR, 5, 7),
+         ("2", "web", "en", None, "done", None, "Positive", 0.5, [], None, 3, HOUR, HOUR, 5, 7)],
+        "doc_id string, source string, lang string, text string, status string, error string, sentiment_label string, "
+        "sentiment_score double, entities array<struct<text:string,label:string,start:int,end:int>>, summary string, seq long, "
+        "received_at timestamp, started_at timestamp, processing_ms long, epoch_id long")
+    out = ln.lineage(to_tables(batch))
+    logical = out._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [line for line in logical.splitlines() if "Aggregate [run_id" in line]
+    assert grouped and not any("git" in line or "prompt" in line or "unknown" in line for line in grouped)
+    joined = [line for line in logical.splitlines() if "Join Inner" in line]
+    assert len(joined) > 1 and "document_id" in joined[0] and "source_id" in joined[1]
+    rows = {r["run_status"]: r for r in out.collect()}
+    assert len(rows) == 2 and rows["failed"]["sentiment_label"] is None and rows["done"]["service_git_sha"] == "unknown"
+    assert rows["done"]["sentiment_model"] == "lexicon" and rows["done"]["source_name"] == "source-web" and rows["done"]["prompt_hash"]
