@@ -97,3 +97,20 @@ def test_lineage_deals_no_runs_by_source(spark):
     rows = {r["run_status"]: r for r in out.collect()}
     assert len(rows) == 2 and rows["failed"]["sentiment_label"] is None and rows["done"]["service_git_sha"] == "unknown"
     assert rows["done"]["sentiment_model"] == "lexicon" and rows["done"]["source_name"] == "source-web" and rows["done"]["prompt_hash"]
+
+
+def test_parts_of_a_spread_table_do_not_grow_with_it(spark, tmp_path):
+    from vocale.sources.feed import spread
+
+    spark.range(400_000).coalesce(1).write.parquet(str(tmp_path / "rows"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        df = spark.read.parquet(str(tmp_path / "rows"))
+        cuts = df.rdd.getNumPartitions()
+        assert cuts > 2 * spark.sparkContext.defaultParallelism
+        assert spread(df, "id").rdd.getNumPartitions() == cuts
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
